@@ -1,0 +1 @@
+"""Nothing here computes: the engine's queries are all batch, and no operator of the inventory is a stream."""
