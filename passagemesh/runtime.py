@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _local_dirs: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="passagemesh-zip-")
+    _local_dirs.append(folder)
+    sc.addPyFile(shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
