@@ -150,11 +150,12 @@ def _rules(language: str) -> tuple[tuple[bool, re.Pattern, re.Pattern], ...]:
     return tuple((b, re.compile(rf"(?:{before})\Z"), re.compile(after)) for t in CASCADES[language] for b, before, after in TABLES[t])
 
 
-_SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")), ("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("latin", re.compile("[A-Za-zÀ-ÿ]")))
+_SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")), ("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("latin", re.compile(r"(?<!\S)(?=\S*[A-Za-zÀ-ÿ])[ -ɏ‐-⁯]{1,30}(?!\S)")))
 
 
 def script(text: str) -> str:
-    """The language that the script of most letters names ('latin' for Latin letters); kana make Japanese of Han."""
+    """The language that most of a text's script names: letters count, but words of Latin letters, so that long codes and
+    single names in another text do not outweigh it. 'latin' for Latin letters; kana make Japanese of Han."""
     n = {k: len(p.findall(text)) for k, p in _SCRIPTS}
     if n["ja"] * 10 > n["zh"]:
         n["ja"] += n.pop("zh")
