@@ -62,6 +62,9 @@ def walk(algorithm: str, queries: DataFrame, nodes: DataFrame, edges: DataFrame,
     key = KEYS[algorithm]
     semantic = algorithm == "ssg_traversal"
     empty = F.array().cast("array<string>")
+    # each hop reads these again, so they are computed once
+    queries, nodes = materialize(queries, "queries"), materialize(nodes, "nodes")
+    edges, sentences = materialize(edges.select("src", "dst"), "edges"), materialize(sentences, "sentences")
     first = anchors(queries, nodes).select("query_id", F.col("id").alias("cur"))
     state = first.join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
     state = state.select("query_id", "q", "cur", F.array("cur").alias("path"), empty.alias("gathered"), F.lit(0.0).alias("total"), F.lit(0.0).alias("before"), F.lit(False).alias("done"))
