@@ -20,16 +20,24 @@ def allocation(weights: dict[str, float], total: int) -> dict[str, int]:
     return out
 
 
+#: Blanks of any script at either end, as Java and RE2 both know them.
+EDGES = "^[ \\t\\n\\r\\f\\p{Z}]+|[ \\t\\n\\r\\f\\p{Z}]+$"
+
+
+def stripped(s: Column) -> Column:
+    return F.regexp_replace(s, EDGES, "")
+
+
 def regrouped(texts: DataFrame, size: int = 3) -> DataFrame:
     """(id, group, text): sentences split at full stops, repeated ones dropped in order, regrouped by ``size``."""
-    parts = F.array_distinct(F.filter(F.transform(F.split("text", "\\."), lambda s: F.trim(s)), lambda s: s != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split("text", "\\."), stripped), lambda s: s != ""))
     t = texts.select("id", parts.alias("p")).filter("size(p) > 0")
     g = t.select("id", "p", F.explode(F.sequence(F.lit(0), ((F.size("p") - 1) / size).cast("int"))).alias("group"))
     return g.select("id", "group", F.concat(F.array_join(F.slice("p", F.col("group") * size + 1, F.lit(size)), ". "), F.lit(".")).alias("text"))
 
 
 def sentence_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[.!?]+( +|$)"), lambda s: F.trim(s)), lambda s: s != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[.!?]+( +|$)"), stripped), lambda s: s != ""))
 
 
 def overlap(pairs: DataFrame) -> DataFrame:

@@ -428,7 +428,7 @@ def l5_exactly_ten(spark, sf):
 
 @query(
     """WITH t AS (SELECT id, min(expectedOutput) AS text FROM goldens WHERE id IS NOT NULL GROUP BY 1),
-u AS (SELECT id, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS a FROM t WHERE text IS NOT NULL),
+u AS (SELECT id, list_filter(list_transform(string_split(text, '.'), lambda s: regexp_replace(s, '^[ \\t\\n\\r\\f\\p{Z}]+|[ \\t\\n\\r\\f\\p{Z}]+$', '', 'g')), lambda s: s <> '') AS a FROM t WHERE text IS NOT NULL),
 p AS (SELECT id, list_filter(a, lambda s, i: list_position(a, s) = i) AS p FROM u WHERE len(a) > 0),
 g AS (SELECT id, p, unnest(range((len(p) - 1) // 3 + 1))::INTEGER AS "group" FROM p)
 SELECT id, "group", array_to_string(p["group" * 3 + 1:"group" * 3 + 3], '. ') || '.' AS text FROM g"""
@@ -451,7 +451,7 @@ def _answers(spark, sf):
     return g.filter("truth IS NOT NULL AND answer IS NOT NULL")
 
 
-_SET = lambda c: f"list_distinct(list_filter(list_transform(regexp_split_to_array({c}, '[.!?]+( +|$)'), lambda s: trim(s)), lambda s: s <> ''))"
+_SET = lambda c: f"list_distinct(list_filter(list_transform(regexp_split_to_array({c}, '[.!?]+( +|$)'), lambda s: regexp_replace(s, '{evaluate.EDGES}', '', 'g')), lambda s: s <> ''))"
 _OVERLAP = f"""o AS (SELECT id, len(t) AS n, len(list_intersect(t, a)) AS k FROM (SELECT id, {_SET('truth')} AS t, {_SET('answer')} AS a FROM (SELECT id, min(expectedOutput) AS truth, min(actualOutput) AS answer FROM goldens WHERE id IS NOT NULL GROUP BY 1) WHERE truth IS NOT NULL AND answer IS NOT NULL)),
 r AS (SELECT id, n::INTEGER AS n_truth, k::INTEGER AS n_found, CASE WHEN n > 0 THEN round(100.0::DOUBLE * k / n, 6) ELSE 0.0 END AS share FROM o)"""
 
