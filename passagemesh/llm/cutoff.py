@@ -112,7 +112,7 @@ SELECT s.text, CASE
     WHEN {_NOTHING} OR NOT bare RLIKE '[\\p{{L}}]' OR {_LINK} THEN false
     WHEN last RLIKE '^[,:;(“«„「『（、，：]$' THEN true
     WHEN NOT last RLIKE '^[\\p{{L}}\\p{{M}}0]' THEN false
-    WHEN {_LIST_ITEM} THEN e3 + i3 = 0 AND last RLIKE '^\\p{{Ll}}'
+    WHEN {_LIST_ITEM} THEN e3 + i3 = 0 AND b.text IS NOT NULL
     WHEN e2 + i2 = 0 AND b.text IS NOT NULL THEN true
     WHEN {_REST} BETWEEN 1 AND 2 AND NOT last RLIKE '^[{_UNSPACED}]$' THEN true
     WHEN e1 + i1 >= {SEEN} THEN e1 < {SELDOM} * (e1 + i1)
