@@ -62,11 +62,13 @@ def _sized(documents: DataFrame, targets: DataFrame, seed: int, path: str) -> tu
 
 
 def _slice_below(part: DataFrame, slice_: str, need: DataFrame) -> DataFrame:
-    """Per source the slice in which the running sum passes ``need``, and the sum before it. At most SLICES rows a source."""
+    """Per source the slice in which the running sum passes ``need``, the sum before it, and whether the sum after it is nearer. At most SLICES rows a source."""
     hist = part.groupBy("source", slice_).agg(F.sum("n_tokens").alias("n"))
     w = Window.partitionBy("source").orderBy(slice_)
     run = hist.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(need), "source")
-    return run.filter(F.col("upto") > F.col("need")).groupBy("source").agg(F.min(slice_).alias(f"at_{slice_}"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    found = run.filter(F.col("upto") > F.col("need")).groupBy("source").agg(F.min(F.struct(F.col(slice_).alias("at"), "upto", "n", "need")).alias("f"))
+    over, under = F.col("f.upto") - F.col("f.need"), F.col("f.need") - F.col("f.upto") + F.col("f.n")
+    return found.select("source", F.col("f.at").alias(f"at_{slice_}"), (F.col("f.upto") - F.col("f.n")).alias("before"), (over < under).alias("nearer_after"))
 
 
 def plan(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> tuple[DataFrame, DataFrame]:
@@ -81,8 +83,8 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None, s
     sources = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available long, allotted double, passes int, need double")
     need = sources.filter("passes < max_repeats").select("source", "need")
     first = _slice_below(sized, "s1", need)
-    inside = sized.join(F.broadcast(first), "source").filter("s1 = at_s1")
-    second = _slice_below(inside, "s2", first.join(need, "source").select("source", (F.col("need") - F.col("before")).alias("need"))).select("source", "at_s2")
+    inside = sized.join(F.broadcast(first.select("source", "at_s1")), "source").filter("s1 = at_s1")
+    second = _slice_below(inside, "s2", first.join(need, "source").select("source", (F.col("need") - F.col("before")).alias("need"))).select("source", (F.col("at_s2") + F.col("nearer_after").cast("int")).alias("at_s2"))
     cuts = sources.select("source", "passes").join(first.select("source", "at_s1"), "source", "left").join(second, "source", "left")
     cuts = materialize(cuts, "cuts")  # a row a source
     below = F.coalesce((F.col("s1") < F.col("at_s1")) | ((F.col("s1") == F.col("at_s1")) & (F.col("s2") < F.coalesce("at_s2", F.lit(0)))), F.lit(False))
