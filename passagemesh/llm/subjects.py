@@ -28,6 +28,8 @@ from passagemesh.llm.sentences import units
 BUCKETS, RANK, PASSES, ROUNDS, PULLS = 1 << 15, 96, 2, 4, 1
 #: Texts' worth of the corpus' shares in a term's subjects; texts at which half of what a term tells counts.
 PRIOR, SEEN = 1.0, 4.0
+#: Terms that get a weight; buckets added up in a group.
+VOCABULARY, ADDED = 8192, 32
 #: Labelled examples used at most: the bound of the seeds' sample.
 MOST_EXAMPLES = 20_000
 #: A centroid moves toward a document's part when it is this much closer to it than to the next; how far it moves in a round.
@@ -99,10 +101,25 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
-def _weighted(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As :func:`counted`, by idf and to unit length."""
+class Weights:
+    """The buckets that have a weight, numbered; it and the blocks over it are small enough to go with every task."""
+
+    def __init__(self, weight: np.ndarray) -> None:
+        at = np.flatnonzero(weight > 0)
+        self.place = np.full(BUCKETS, -1, dtype=np.int32)
+        self.place[at] = np.arange(len(at))
+        self.weight = weight[at].astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.weight)
+
+
+def _weighted(texts: list[str], w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`counted` for numbered buckets, weighted and to unit length."""
     r, c, v = counted(texts)
-    v = v * idf[c]
+    c = w.place[c]
+    r, v, c = r[c >= 0], v[c >= 0], c[c >= 0]
+    v = v * w.weight[c]
     norm = np.sqrt(np.bincount(r, v * v, minlength=len(texts)))
     return r, c, v / np.where(norm[r] > 0, norm[r], 1)
 
@@ -186,26 +203,37 @@ def clearest(cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cos.argmax(axis=1), (top[:, -1] >= LEAST) & (top[:, -1] - (top[:, -2] if cos.shape[1] > 1 else 0) >= CLEAR)
 
 
+def _add(rows: pa.Table) -> pa.Table:
+    at, which = np.unique(rows.column("bucket").to_numpy(), return_inverse=True)
+    x = np.stack(rows.column("row").to_numpy(zero_copy_only=False)).astype(float)
+    order = np.argsort(which, kind="stable")
+    first = np.searchsorted(which[order], np.arange(len(at)))
+    total = np.add.reduceat(x[order], first, axis=0)
+    return pa.table({"bucket": pa.array(at), "row": pa.array(list(total.astype("<f4")), pa.list_(pa.float32()))})
+
+
 def _sums(rows: DataFrame, width: int) -> np.ndarray:
-    """Rows (bucket, row) summed per bucket: at most BUCKETS rows reach the driver, whatever the corpus."""
-    per = rows.select("bucket", F.posexplode("row").alias("k", "x")).groupBy("bucket", "k").agg(F.sum("x").alias("x"))
-    got = per.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"].cast("float")).alias("row")).toPandas()
+    """Rows (bucket, row) summed per bucket: at most BUCKETS rows reach the driver, whatever the corpus.
+
+    A group holds ADDED buckets, one row of each from each task.
+    """
+    got = rows.groupBy(F.floor(F.col("bucket") / ADDED).alias("g")).applyInArrow(_add, "bucket long, row array<float>").toPandas()
     out = np.zeros((BUCKETS, width))
     if len(got):
         out[got["bucket"].to_numpy(dtype=np.int64)] = np.stack(got["row"].to_numpy())
     return out
 
 
-def _multiply(idf: np.ndarray, block: np.ndarray):
+def _multiply(w: Weights, block: np.ndarray):
     """Adds up A'(A block) of the rows that a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, block.shape[1]))
+        total = np.zeros(block.shape)
         for b in batches:
             texts = b.column("text").to_pylist()
             for at in range(0, len(texts), 2000):
                 part = texts[at : at + 2000]
-                r, c, v = _weighted(part, idf)
+                r, c, v = _weighted(part, w)
                 y = _times(r, c, v, len(part), block)
                 if len(r):
                     order = np.argsort(c, kind="stable")
@@ -217,12 +245,13 @@ def _multiply(idf: np.ndarray, block: np.ndarray):
     return run
 
 
-def singular_vectors(texts: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSES, seed: int = 6) -> np.ndarray:
-    """The leading right singular vectors (BUCKETS x rank) of the weighted matrix of all ``texts``."""
-    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, rank)) * (idf > 0)[:, None])[0]
-    for _ in range(passes):
-        nxt = _sums(texts.mapInArrow(_multiply(idf, block), "bucket long, row array<float>"), rank)
-        block = np.linalg.qr(nxt + 1e-12 * block)[0]
+def singular_vectors(texts: DataFrame, w: Weights, rank: int = RANK, passes: int = PASSES, seed: int = 6) -> np.ndarray:
+    """The leading right singular vectors (numbered buckets x rank) of the weighted matrix of all ``texts``."""
+    rank = max(1, min(rank, len(w)))
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(len(w), 1), rank)))[0].astype(np.float32)
+    for _ in range(passes if len(w) else 0):
+        nxt = _sums(texts.mapInArrow(_multiply(w, block), "bucket long, row array<float>"), rank)[: len(w)]
+        block = np.linalg.qr(nxt + 1e-12 * block)[0].astype(np.float32)
     return block
 
 
@@ -233,11 +262,11 @@ def _scales(x: np.ndarray) -> np.ndarray:
 class Space:
     """Terms to unit vectors of the latent space."""
 
-    def __init__(self, idf: np.ndarray, vectors: np.ndarray) -> None:
-        self.idf, self.vectors = idf, vectors.astype(np.float32)
+    def __init__(self, w: Weights, vectors: np.ndarray) -> None:
+        self.w, self.vectors = w, vectors
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        return _scales(_times(*_weighted(texts, self.idf), len(texts), self.vectors))
+        return _scales(_times(*_weighted(texts, self.w), len(texts), self.vectors))
 
 
 class Centroids:
@@ -337,14 +366,16 @@ def fitted(texts: DataFrame, examples: DataFrame, subjects: DataFrame) -> tuple[
     labelled = [(r[0], r[1], r[2]) for r in rows]
     themed = F.array_join(F.transform("themes", lambda t: F.concat(F.lit("theme"), F.regexp_replace(F.lower(t), r"[^\\p{L}]", ""))), " ")
     seen = texts.select(F.concat_ws("\n", "text", themed).alias("text"))
-    if labelled:
-        seen = seen.unionByName(spark.createDataFrame([(t,) for t, _, _ in labelled], "text string"))
+    if labelled:  # bounded by MOST_EXAMPLES
+        seen = seen.unionByName(spark.createDataFrame([(t,) for t, _, _ in labelled], "text string").coalesce(1))
     idf = inverse_frequencies(seen)
     seeded = example_counts(names, labelled)
     counts = seeded
     for k in range(ROUNDS):
         weight = idf * told(counts)
-        space = Space(weight, singular_vectors(seen, weight))
+        weight[np.argsort(-weight * np.log1p(counts.sum(axis=1)), kind="stable")[VOCABULARY:]] = 0
+        w = Weights(weight)
+        space = Space(w, singular_vectors(seen, w))
         c = refined(texts, space, seeds(names, labelled, space), PULLS)
         if k < ROUNDS - 1:
             counts = 3 * seeded + _sums(texts.mapInArrow(_tally(space, c), "bucket long, row array<float>"), len(names))
