@@ -28,8 +28,8 @@ from passagemesh.llm.sentences import units
 BUCKETS, RANK, PASSES, ROUNDS, PULLS = 1 << 15, 96, 2, 4, 1
 #: Texts' worth of the corpus' shares in a term's subjects; texts at which half of what a term tells counts.
 PRIOR, SEEN = 1.0, 4.0
-#: Terms that get a weight; buckets added up in a group.
-VOCABULARY, ADDED = 8192, 32
+#: Buckets added up in a group.
+ADDED = 32
 #: Labelled examples used at most: the bound of the seeds' sample.
 MOST_EXAMPLES = 20_000
 #: A centroid moves toward a document's part when it is this much closer to it than to the next; how far it moves in a round.
@@ -372,9 +372,7 @@ def fitted(texts: DataFrame, examples: DataFrame, subjects: DataFrame) -> tuple[
     seeded = example_counts(names, labelled)
     counts = seeded
     for k in range(ROUNDS):
-        weight = idf * told(counts)
-        weight[np.argsort(-weight * np.log1p(counts.sum(axis=1)), kind="stable")[VOCABULARY:]] = 0
-        w = Weights(weight)
+        w = Weights(idf * told(counts))
         space = Space(w, singular_vectors(seen, w))
         c = refined(texts, space, seeds(names, labelled, space), PULLS)
         if k < ROUNDS - 1:

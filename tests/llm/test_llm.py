@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -209,6 +210,17 @@ def test_subjects(spark):
     assert subjects.found(nodes.limit(0), themes.limit(0), ex, subj).count() == 0
 
 
+def test_every_term_has_its_weight(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "ROUNDS", 1)
+    words = ["".join(c) for c in itertools.islice(itertools.product("abcdefghijklmno", repeat=4), 12_000)]
+    rows = [(k, " ".join(words[k // 2 * 1000 : (k // 2 + 1) * 1000]), "en", ["law" if k < 12 else "music"]) for k in range(24)]  # each word in two texts
+    ex = spark.createDataFrame(rows, "example_id int, text string, lang string, subjects array<string>")
+    texts = spark.createDataFrame([("d", "aaaa aaab", ["x"])], "doc_id string, text string, themes array<string>")
+    space, _ = subjects.fitted(texts, ex, spark.createDataFrame([("law",), ("music",)], "subject string"))
+    assert len(space.w) == len({b for w in words for b in subjects.terms(w)}) > 8192
+    assert (np.linalg.norm(space.embed(words), axis=1) > 0.99).all()
+
+
 # --- p9
 
 
