@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Themes and the substrings that call for them, in order of preference.
+# Themes and the substrings that call for them, in order of preference. The SQL of f5 still has these; the query takes THEMES.
 KEYWORDS = {
     "Artificial Intelligence": ("artificial intelligence", "ai", "machine learning"),
     "Technology": ("technology", "software", "computer"),
@@ -20,6 +20,35 @@ KEYWORDS = {
 }
 
 
+# The inventory's themes (F5) and their substrings, in its order.
+THEMES = {
+    "Artificial Intelligence": ("artificial intelligence", "ai", "machine intelligence"),
+    "Machine Learning": ("machine learning", "ml", "learning algorithms"),
+    "Neural Networks": ("neural networks", "neural nets", "artificial neural"),
+    "Deep Learning": ("deep learning", "deep neural", "convolutional"),
+    "Natural Language Processing": ("natural language", "nlp", "text processing"),
+    "Computer Vision": ("computer vision", "image recognition", "visual"),
+    "Data Science": ("data science", "data analysis", "big data"),
+    "Robotics": ("robotics", "robots", "autonomous"),
+    "Psychology": ("psychology", "psychological", "behavior", "cognitive"),
+    "Neuroscience": ("neuroscience", "brain", "neural", "cognitive science"),
+    "History": ("history", "historical", "past", "century"),
+    "Technology": ("technology", "technological", "computing", "computer"),
+    "Research": ("research", "study", "studies", "investigation"),
+    "Education": ("education", "learning", "teaching", "academic"),
+}
+#: A capitalised phrase (B21): between characters that are no word's, in any script.
+PHRASE = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:[\s\x1c-\x1f\x{85}\p{Z}]+[A-Z][a-z]+)*(?![\p{L}\p{N}_])"
+
+
+def fallback_themes(title: Column, summary: Column, most: int = 5) -> Column:
+    """Up to ``most`` themes one of whose substrings is in title and summary, in table order; where there is none, the summary's first capitalised phrases."""
+    low = F.lower(F.concat_ws(" ", title, summary))
+    hits = F.array_compact(F.array(*[F.when(F.greatest(*[low.contains(k) for k in keys]), F.lit(name)) for name, keys in THEMES.items()]))
+    phrases = F.array_distinct(F.regexp_extract_all(F.coalesce(summary, F.lit("")), F.lit(PHRASE), F.lit(0)))
+    return F.slice(F.when(F.size(hits) > 0, hits).otherwise(phrases), 1, most)
+
+
 def keyword_themes(text: Column, most: int = 5) -> Column:
     """Up to ``most`` themes one of whose keywords is a substring of the lower-case text, in table order."""
     low = F.lower(text)

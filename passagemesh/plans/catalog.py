@@ -196,8 +196,8 @@ def _keyword_sql() -> str:
 
 @query(_keyword_sql())
 def f5_keyword_themes(spark, sf):
-    d = table(spark, sf, "document_nodes").select("doc_id", F.concat_ws(" ", "title", "doc_summary").alias("t")).distinct()
-    return d.select("doc_id", themes.keyword_themes(F.col("t")).alias("themes"))
+    d = table(spark, sf, "document_nodes").select("doc_id", "title", "doc_summary").distinct()
+    return d.select("doc_id", themes.fallback_themes(F.col("title"), F.col("doc_summary")).alias("themes"))
 
 
 @query("SELECT DISTINCT doc_id, list_filter(list_transform(themes, lambda x: trim(x)), lambda x: x <> '')[1:5] AS themes FROM theme_results WHERE themes IS NOT NULL")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +199,13 @@ def test_quality(spark):
 def test_vector_columns(spark):
     r = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, z array<double>").select(V.norm("a").alias("n"), V.unit(F.col("a")).alias("u"), V.unit(F.col("z")).alias("z")).first()
     assert r.n == 5.0 and r.u == [0.6, 0.8] and r.z == [0.0, 0.0]
+
+
+def test_fallback_themes(spark):
+    rows = [(0, "Brains", "A study of THE PAST"), (1, "Law", "He met José and Anna Marie Smith, then Anna Marie Smith. OK. The End X1y Éa"), (2, None, None), (3, "visual robots behavior history computer study", None), (4, "x", "Xo\u00a0Yo Zo\u0301 Ann1")]
+    df = spark.createDataFrame(rows, "i int, title string, s string")
+    got = {r.i: r.t for r in df.select("i", themes.fallback_themes(F.col("title"), F.col("s")).alias("t")).collect()}
+    assert got[0] == ["Artificial Intelligence", "Neuroscience", "History", "Research"]
+    assert got[1] == ["He", "Anna Marie Smith", "The End"]
+    assert got[2] == [] and got[3] == ["Computer Vision", "Robotics", "Psychology", "History", "Technology"]
+    assert got[4] == list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", rows[4][2])))
