@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Granularities a connection allows, and the most and least hops of a pattern.
+# Granularities a connection allows, and the least and most hops of a traversal pattern.
 ALLOWED = {
     "raw_similarity": ("CHUNK",),
     "theme_bridge": ("DOCUMENT", "CHUNK"),
@@ -13,7 +13,7 @@ ALLOWED = {
     "sequential": ("DOCUMENT", "CHUNK", "SENTENCE"),
     "entity_overlap": ("DOCUMENT", "CHUNK", "SENTENCE"),
 }
-HOPS = {"raw_similarity": (1, 1), "hierarchical": (1, 2), "sequential": (5, 10), "theme_bridge": (1, 3)}
+HOPS = {"raw_similarity": (None, 1), "hierarchical": (None, 2), "sequential_flow": (5, 10), "theme_bridge": (None, 3), "multi_dimensional": (3, 3)}
 LEVELS = {"DOCUMENT": 0, "CHUNK": 1, "SENTENCE": 2}
 
 
@@ -21,26 +21,41 @@ def hop_errors(paths: DataFrame) -> DataFrame:
     """(path_id, step, error) for each broken rule of ``paths`` (path_id, step, granularity, document, connection): connection leads to the next step."""
     w = Window.partitionBy("path_id").orderBy("step")
     hop = paths.select("path_id", "step", "granularity", "document", "connection", F.lead("granularity").over(w).alias("g2"), F.lead("document").over(w).alias("d2")).filter("g2 IS NOT NULL")
-    allowed = F.lit(False)
-    for c, gs in ALLOWED.items():
-        allowed = allowed | ((F.col("connection") == c) & F.col("granularity").isin(*gs) & F.col("g2").isin(*gs))
+    allowed = lambda g: F.coalesce(F.greatest(*[(F.col("connection") == c) & F.col(g).isin(*gs) for c, gs in ALLOWED.items()]), F.lit(False))
     level = lambda c: F.create_map(*[x for k, v in LEVELS.items() for x in (F.lit(k), F.lit(v))])[F.col(c)]
     rules = [
-        (~F.coalesce(allowed, F.lit(False)), "granularity"),
+        (~allowed("granularity"), "granularity"),
+        (~allowed("g2"), "granularity"),
         ((F.col("connection") == "sequential") & (F.col("granularity") == "SENTENCE") & (F.col("document") != F.col("d2")), "document_only"),
-        ((F.col("connection") == "theme_bridge") & (F.col("document") == F.col("d2")), "always_inter"),
+        ((F.col("connection") == "sequential") & (F.col("granularity") == "DOCUMENT") & (F.col("document") == F.col("d2")), "always_inter"),
+        ((F.col("connection") == "theme_bridge") & F.col("granularity").isin("DOCUMENT", "CHUNK") & (F.col("document") == F.col("d2")), "always_inter"),
         ((F.col("connection") == "hierarchical") & (level("g2") - level("granularity") != 1), "one_level_down"),
     ]
     errors = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules]))
     return hop.select("path_id", "step", F.explode(errors).alias("error"))
 
 
-def validated(paths: DataFrame) -> DataFrame:
-    """(path_id, hops, n_errors, is_valid): a path without a hop is not valid."""
-    n = paths.groupBy("path_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("hops"))
+def pattern_errors(pattern: str | None) -> Column:
+    """How many rules of a traversal pattern a path of ``hops`` with ``kinds`` of connections breaks; a pattern that is not listed has none.
+
+    A wrong number of hops of the multi-dimensional pattern counts twice: as the path's and as the pattern's own rule.
+    """
+    least, most = HOPS.get(pattern, (None, None))
+    hops, kinds = F.col("hops"), F.col("kinds")
+    broken = [hops > most] if most is not None else []
+    broken += [hops < least] if least is not None else []
+    broken += [hops != most, kinds < hops] if pattern == "multi_dimensional" else []
+    return sum((b.cast("int") for b in broken), F.lit(0))
+
+
+def validated(paths: DataFrame, pattern: str | None = None) -> DataFrame:
+    """(path_id, hops, n_errors, is_valid) by the rules of each hop and of the traversal ``pattern``: a path without a hop is not valid."""
+    w = Window.partitionBy("path_id").orderBy("step")
+    kind = F.when(F.col("next").isNotNull(), F.col("connection"))
+    n = paths.withColumn("next", F.lead("step").over(w)).groupBy("path_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("hops"), F.count_distinct(kind).alias("kinds"))
     e = hop_errors(paths).groupBy("path_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    j = n.join(e, "path_id", "left")
-    return j.select("path_id", "hops", F.coalesce("n", F.lit(0)).alias("n_errors"), ((F.coalesce("n", F.lit(0)) == 0) & (F.col("hops") > 0)).alias("is_valid"))
+    j = n.join(e, "path_id", "left").withColumn("n_errors", F.coalesce("n", F.lit(0)) + pattern_errors(pattern))
+    return j.select("path_id", "hops", "n_errors", ((F.col("n_errors") == 0) & (F.col("hops") > 0)).alias("is_valid"))
 
 
 def sessions(steps: DataFrame, gap: int = 8) -> DataFrame:

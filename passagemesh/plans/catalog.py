@@ -365,7 +365,7 @@ SELECT path_id, (count(*) - 1)::INTEGER AS hops, 0 AS n_errors, count(*) > 1 AS
 def k7_validated_paths(spark, sf):
     c = table(spark, sf, "chunks").filter("source_article IS NOT NULL AND start_sentence_idx IS NOT NULL")
     p = c.select(F.col("source_article").alias("path_id"), F.col("start_sentence_idx").alias("step"), F.lit("CHUNK").alias("granularity"), F.col("source_article").alias("document"), F.lit("sequential").alias("connection")).distinct()
-    return paths.validated(p)
+    return paths.validated(p, "sequential_flow")
 
 
 @query(

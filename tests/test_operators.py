@@ -201,6 +201,26 @@ def test_vector_columns(spark):
     assert r.n == 5.0 and r.u == [0.6, 0.8] and r.z == [0.0, 0.0]
 
 
+def test_path_patterns(spark):
+    def seen(pattern, connections, granularities=None, documents=None):
+        n = len(connections) + 1
+        rows = list(zip(["p"] * n, range(n), granularities or ["CHUNK"] * n, documents or [f"d{i}" for i in range(n)], [*connections, None]))
+        r = paths.validated(spark.createDataFrame(rows, "path_id string, step int, granularity string, document string, connection string"), pattern).first()
+        return r.n_errors, r.is_valid
+
+    raw, seq, down, theme = "raw_similarity", "sequential", "hierarchical", "theme_bridge"
+    assert [seen("sequential_flow", [seq] * n) for n in (4, 5, 10, 11)] == [(1, False), (0, True), (0, True), (1, False)]
+    assert [seen("raw_similarity", [raw] * n) for n in (1, 2)] == [(0, True), (1, False)]
+    assert [seen("theme_bridge", [theme] * n) for n in (3, 4)] == [(0, True), (1, False)]
+    three = ["DOCUMENT", "CHUNK", "CHUNK", "SENTENCE"]
+    assert seen("multi_dimensional", [down, theme, seq], three, ["a", "a", "b", "b"]) == (0, True)
+    assert seen("multi_dimensional", [seq, theme, seq]) == (1, False)  # a type twice
+    assert seen("multi_dimensional", [theme, seq]) == (2, False)
+    assert seen("hierarchical", [down] * 3, [*three[:2], "SENTENCE", "SENTENCE"]) == (2, False)  # too many, and one not down
+    assert seen(None, [raw], ["SENTENCE"] * 2) == (2, False)  # both ends
+    assert seen(None, [seq], ["DOCUMENT"] * 2, ["a", "a"]) == (1, False)
+
+
 def test_fallback_themes(spark):
     rows = [(0, "Brains", "A study of THE PAST"), (1, "Law", "He met José and Anna Marie Smith, then Anna Marie Smith. OK. The End X1y Éa"), (2, None, None), (3, "visual robots behavior history computer study", None), (4, "x", "Xo\u00a0Yo Zo\u0301 Ann1")]
     df = spark.createDataFrame(rows, "i int, title string, s string")
