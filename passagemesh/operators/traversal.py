@@ -107,9 +107,28 @@ def walk(algorithm: str, queries: DataFrame, nodes: DataFrame, edges: DataFrame,
 
 
 def basic(queries: DataFrame, nodes: DataFrame, sentences: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(query_id, path, gathered, score, hops): nodes by similarity to the query until enough sentences are gathered; nodes that add none are left out."""
-    near = anchors(queries, nodes, 2 * limits.sentences).join(sentences, "id", "left")
-    one = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "sim", "keys"))).alias("c"))
+    """(query_id, path, gathered, score, hops): nodes by similarity to the query until enough sentences are gathered; nodes that add none are left out.
+
+    The nearest nodes come first; queries that they leave short are asked again for twice as many, until they are full or have seen every node.
+    """
+    k, rest, full, every = 2 * limits.sentences, queries, None, None
+    while True:
+        got = materialize(_filled(anchors(rest, nodes, k).join(sentences, "id", "left"), limits), "basic")
+        short = got.filter(F.size("gathered") < limits.sentences)
+        if every is None and not short.isEmpty():  # each further round reads these again, so they are computed once
+            queries, nodes, sentences = materialize(queries, "queries"), materialize(nodes, "nodes"), materialize(sentences, "sentences")
+            every = nodes.count()
+        if every is None or k >= every or short.isEmpty():
+            return full.unionByName(got) if full is not None else got
+        more = got.filter(F.size("gathered") >= limits.sentences)
+        full = full.unionByName(more) if full is not None else more
+        rest, k = queries.join(short.select(F.col("query_id").alias("id")), "id", "left_semi"), 2 * k
+
+
+def _filled(near: DataFrame, limits: Limits) -> DataFrame:
+    """The answers of :func:`basic` from the nodes ``near`` (query_id, id, sim, rank, keys); those without keys add none."""
+    has = F.when(F.size("keys") > 0, F.struct("rank", "id", "sim", "keys"))
+    one = near.groupBy("query_id").agg(F.array_sort(F.collect_list(has)).alias("c"))
     zero = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("gathered"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -201,6 +201,20 @@ def test_vector_columns(spark):
     assert r.n == 5.0 and r.u == [0.6, 0.8] and r.z == [0.0, 0.0]
 
 
+def test_basic_goes_on_past_copies(spark):
+    q = np.eye(64)[0]
+    near = [(f"c{i:02d}", [1.0] + [0.001 * i] + [0.0] * 62) for i in range(45)]  # copies of one window, nearest to the query
+    far = [(f"f{i:02d}", [1.0] + [0.5 + 0.01 * i] + [0.0] * 62) for i in range(8)]
+    df = spark.createDataFrame([(i, "d", v) for i, v in near + far + [("q", [float(x) for x in q])]], "id string, source_article string, embedding array<double>")
+    n = similarity.nodes(df, "id")
+    s = spark.createDataFrame([(i, ["a", "b"]) for i, _ in near] + [(i, [f"{i}x", f"{i}y"]) for i, _ in far[1:]] + [(far[0][0], None)], "id string, keys array<string>")
+    r = traversal.basic(n.filter("id = 'q'").select("id", "vec"), n.filter("id <> 'q'"), s).collect()
+    assert [x.path for x in r] == [["c00", "f01", "f02", "f03", "f04"]]
+    assert r[0].gathered == ["a", "b"] + [f"f{i:02d}{k}" for i in range(1, 5) for k in "xy"]
+    few = traversal.basic(n.filter("id = 'q'").select("id", "vec"), n.filter("id < 'f03'"), s).collect()  # every node seen
+    assert [len(x.gathered) for x in few] == [6]
+
+
 def test_path_patterns(spark):
     def seen(pattern, connections, granularities=None, documents=None):
         n = len(connections) + 1
