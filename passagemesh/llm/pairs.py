@@ -127,8 +127,8 @@ def hashed(a: str | None) -> list[int]:
     """Hashed n-grams of an answer: of all its words, of the first and of the last."""
     t = tokens(a or "")
     low = (a or "").strip().lower()
-    names = [f"1{x}" for x in t[:200]] + [f"2{x} {y}" for x, y in zip(t[:200], t[1:200])]
-    names += [f"3{x} {y} {z}" for x, y, z in zip(t[:200], t[1:200], t[2:200])]
+    names = [f"1{x}" for x in t] + [f"2{x} {y}" for x, y in zip(t, t[1:])]
+    names += [f"3{x} {y} {z}" for x, y, z in zip(t, t[1:], t[2:])]
     names += [f"f{i}{x}" for i, x in enumerate(t[:4])] + [f"ff{' '.join(t[:n])}" for n in (2, 3)]
     names += [f"l{i}{x}" for i, x in enumerate(reversed(t[-3:]))] + [f"e{low[-n:]}" for n in (1, 2, 3)]
     return sorted({zlib.crc32(x.encode("utf-8", "replace")) & (BUCKETS - 1) for x in names})

@@ -196,6 +196,12 @@ def test_cut_values(spark, sf):
     assert r.filter("share < 0 OR share > 1 OR n_cut > n_values").count() == 0
 
 
+def test_all_words_of_an_answer_count():
+    words = [f"w{i}" for i in range(300)]
+    changed = [*words[:250], "other", *words[251:]]
+    assert set(pairs.hashed(" ".join(changed))) - set(pairs.hashed(" ".join(words)))
+
+
 def test_subjects(spark):
     words = {"law": "judge court verdict statute lawyer appeal".split(), "music": "opera violin chord melody sonata tempo".split()}
     rng = random.Random(2)
