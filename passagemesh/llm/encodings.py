@@ -312,7 +312,7 @@ def _evidence_rows(key: str, model: BigramModel):
         for b in batches:
             keys, fields, names, gains, tops = [], [], [], [], []
             for k, s, t in zip(b.column(key).to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist()):
-                best = sorted(evidence(t, model, ways).items(), key=lambda x: -x[1])[:5] if t else []
+                best = sorted(evidence(t, model, ways).items(), key=lambda x: -x[1]) if t else []
                 for name, g in best:
                     keys.append(k)
                     fields.append(s)
@@ -325,7 +325,7 @@ def _evidence_rows(key: str, model: BigramModel):
 
 
 def posteriors(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, chain, gain, p): posterior of each chain that has evidence in a record; the rest of 1 is that of no chain.
+    """(key, chain, gain, share, p): posterior of each chain that has evidence in a record, and its share in the source; the rest of 1 is that of no chain.
 
     ``documents`` needs ``key``, ``source`` and ``text``; null, empty and blank texts have no evidence. Null sources
     are pooled as one source. Repeated rows of a key count once each in the shares and give equal rows.
@@ -354,12 +354,12 @@ def posteriors(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _posterior(scored: DataFrame, key: str) -> DataFrame:
-    """Adds p; a record has at most five rows, so its group is small."""
+    """Adds p; a record has at most a row per chain, so its group is small."""
     # all odds are relative to the record's top gain, so that large gains neither overflow nor tie
     per = scored.withColumn("odds", F.exp(F.col("gain") - F.col("top")) * F.col("share"))
     sums = per.groupBy(key).agg(F.sum("odds").alias("sum"))
     none = F.exp(-F.least(F.col("top"), F.lit(700.0)))
-    return per.join(sums, key).withColumn("p", F.col("odds") / (F.col("sum") + none)).drop("odds", "sum", "share", "top")
+    return per.join(sums, key).withColumn("p", F.col("odds") / (F.col("sum") + none)).drop("odds", "sum", "top")
 
 
 def found(documents: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -367,23 +367,38 @@ def found(documents: DataFrame, key: str = "doc_id", threshold: float = 0.5) ->
     return posteriors(documents, key).groupBy(key).agg(F.sum("p").alias("p")).filter(F.col("p") > threshold).select(key)
 
 
+def restored(text: str, chain: str, p: float, shares: dict[str, float], model: BigramModel, ways: dict[str, Chain]) -> tuple[str, bool]:
+    """``text`` with each segment's likeliest chain undone, and whether nothing is lost and no segment still has evidence.
+
+    The prior of the record's ``chain`` in a segment is ``p``, its posterior among those that can be undone; of the others with evidence their ``shares`` in the source, START at least.
+    """
+    parts = []
+    for s in segments(text):
+        base, most, real = None, 0.0, s
+        for name in [] if s.isascii() else [chain, *sorted(shares.keys() - {chain})]:
+            got = ways[name].undo(s) if name in ways else None
+            if got is None:
+                continue
+            base = model.score(s) if base is None else base
+            gain = model.score(got) - base
+            gain += math.log(p) if name == chain else math.log(max(shares[name], START)) + (BONUS_UTF8 if ways[name].kind == "utf8" else BONUS_OTHER)
+            if gain > most:
+                most, real = gain, got
+        parts.append(real)
+    whole = "".join(parts)
+    left = any(g + math.log(max(shares.get(k, START), START)) > 0 for s in segments(whole) for k, g in evidence(s, model, [*ways.values()]).items())
+    return whole, "\ufffd" not in whole and not left
+
+
 def _repair(model: BigramModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways = {w.name: w for w in chains()}
         for b in batches:
             texts, sure = [], []
-            for t, c in zip(b.column("text").to_pylist(), b.column("chain").to_pylist()):
-                if c not in ways:
-                    texts.append(t)
-                    sure.append(False)
-                    continue
-                parts = []
-                for s in segments(t):
-                    real = ways[c].undo(s)
-                    parts.append(real if real is not None and model.score(real) > model.score(s) else s)
-                whole = "".join(parts)
+            for t, c, p, every in zip(*(b.column(n).to_pylist() for n in ("text", "chain", "chain_p", "every"))):
+                whole, ok = restored(t, c, p, {x["chain"]: x["share"] for x in every}, model, ways)
                 texts.append(whole)
-                sure.append("\ufffd" not in whole)
+                sure.append(ok and c in ways)
             cols = [b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(sure, pa.bool_())], [*b.schema.names, "restored", "whole"])
 
@@ -391,11 +406,15 @@ def _repair(model: BigramModel):
 
 
 def repaired(documents: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """(key, chain, p, restored, whole) of each found record: its likeliest chain undone; ``whole`` is false where characters were lost."""
+    """(key, chain, p, restored, whole) of each found record: the likeliest chain of each segment undone, the record's in ``chain``; ``whole`` is false where characters were lost or a segment still has evidence."""
     post = posteriors(documents, key)
-    best = post.groupBy(key).agg(F.sum("p").alias("p"), F.max_by("chain", F.struct(F.col("chain").contains(">"), "p", "chain")).alias("chain")).filter(F.col("p") > threshold)
+    undone = F.col("chain").contains(">") & (F.col("gain") + F.log("share") > 0)  # else weak evidence would hide a lossy chain
+    top = F.max_by(F.struct("chain", "p"), F.struct(undone, "p", "chain")).alias("top")
+    undoable = F.sum(F.when(F.col("chain").contains(">"), F.col("p")))
+    best = post.groupBy(key).agg(F.sum("p").alias("p"), top, undoable.alias("undoable"), F.collect_set(F.struct("chain", "share")).alias("every")).filter(F.col("p") > threshold)
+    best = best.select(key, F.col("top.chain").alias("chain"), "p", (F.greatest("top.p", F.lit(1e-300)) / F.greatest("top.p", "undoable", F.lit(1e-300))).alias("chain_p"), "every")
     model = bigram_model(documents.select("text"))
     rows = documents.select(key, "text").dropDuplicates([key]).join(best, key)
     kind = dict(documents.dtypes)[key]
-    out = rows.select(key, "chain", "p", "text").mapInArrow(_repair(model), f"{key} {kind}, chain string, p double, text string, restored string, whole boolean")
-    return out.drop("text")
+    out = rows.select(key, "chain", "p", "text", "chain_p", "every").mapInArrow(_repair(model), f"{key} {kind}, chain string, p double, text string, chain_p double, every array<struct<chain:string,share:double>>, restored string, whole boolean")
+    return out.drop("text", "chain_p", "every")

@@ -268,3 +268,12 @@ def test_encodings_found_and_repaired(spark, sf):
     assert {r.doc_id for r in encodings.found(df).filter("doc_id < 0").collect()} == {-1, -7}
     fixed = {r.doc_id: (r.restored, r.whole) for r in encodings.repaired(df).filter("doc_id < 0").collect()}
     assert fixed[-1] == (bad, True) and fixed[-7][1] is False
+
+
+def test_each_segment_has_its_chain(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    one, two = "Die Bank wurde für schöne Züge gerühmt. Über dem Fluß läge die Brücke. ", "Die Straße führt über Köln und München nach Süden."
+    clean = [(-k, "t", one + two) for k in range(2, 60)]  # the corpus knows the language
+    df = docs.unionByName(spark.createDataFrame([*clean, (-1, "s", one.encode().decode("cp1252") + two.encode().decode("mac_roman"))], "doc_id long, source string, text string"))
+    r = encodings.repaired(df).filter("doc_id = -1").first()
+    assert (r.restored, r.whole) == (one + two, True)
