@@ -27,8 +27,8 @@ from passagemesh.runtime import materialize
 
 #: Buckets of the hashed bigram and character counts: the model is of this size whatever the corpus.
 PAIR_BITS, CHAR_BITS = 18, 16
-#: Gain per trace of a lossy chain, in nats; segments must gain GAIN_LEAST in all and GAIN_PER_CHAR per changed character.
-LOSS_GAIN, GAIN_LEAST, GAIN_PER_CHAR = 7.0, 3.0, 0.35
+#: Gain per trace of a lossy chain, in nats.
+LOSS_GAIN = 7.0
 #: Added to a segment's gain: valid UTF-8 sequences seldom come by chance, other bytes are valid in most encodings.
 BONUS_UTF8, BONUS_OTHER = 2.0, -2.0
 #: EM: rounds, starting share of each chain, records' worth of weight of the shares over all sources.
@@ -297,9 +297,8 @@ def evidence(text: str, model: BigramModel, ways: list[Chain]) -> dict[str, floa
                     continue
                 if base is None:
                     base = model.score(s)
-                    changed = sum(ord(c) > 127 for c in s)
                 g = model.score(real) - base + (BONUS_UTF8 if w.kind == "utf8" else BONUS_OTHER)
-                if g >= GAIN_LEAST and (w.kind == "utf8" or g >= GAIN_PER_CHAR * changed):
+                if g > 0:
                     gain[w.name] = gain.get(w.name, 0.0) + g
     for k, n in losses(text).items():
         gain[k] = gain.get(k, 0.0) + LOSS_GAIN * n
