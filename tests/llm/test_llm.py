@@ -277,11 +277,3 @@ def test_each_segment_has_its_chain(spark, sf):
     df = docs.unionByName(spark.createDataFrame([*clean, (-1, "s", one.encode().decode("cp1252") + two.encode().decode("mac_roman"))], "doc_id long, source string, text string"))
     r = encodings.repaired(df).filter("doc_id = -1").first()
     assert (r.restored, r.whole) == (one + two, True)
-
-
-def test_weak_evidence_is_pooled():
-    class Even:
-        score = staticmethod(lambda text: 0.0)
-
-    gain = encodings.evidence("Ein schÃ¶ner Tag. Ein schÃ¶ner Zug.", Even, [encodings.Chain("utf8", "cp1252")])
-    assert gain["utf-8>cp1252"] == 2 * encodings.BONUS_UTF8
