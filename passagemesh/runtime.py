@@ -61,6 +61,8 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)  # tables live as long as the application
     return spark.read.schema(df.schema).parquet(path)
 
 
