@@ -1,39 +1,186 @@
-"""The most similar vectors of every vector, by multiprobe p-stable hashing (problem 7).
-
-Vectors are scaled to unit length, and equal ones form a class that is searched once. In each of several
-tables a vector's bucket is the tuple of floors of shifted Gaussian projections divided by a width. A query
-visits its own bucket and those reached by the perturbations likeliest to succeed, in the order of expected
-squared distances to the slot borders. All rows of a bucket meet in one partition, where exact cosines
-rerank them; a row's candidates of all buckets and tables are then merged. The number of projections grows with the
-logarithm of the number of vectors, so a bucket's expected size, and with it the work of a query, stays the same.
+"""The most similar vectors of every vector, by multiprobe p-stable hashing in two layers (problem 7).
+
+A vector's bucket is the tuple of floors of Gaussian projections divided by a width. The first layer has one table of few
+projections, and its buckets, called cells, are what partitions hold: each vector lies in its own cell and visits those
+perturbed cells whose expected success is high enough, in order of the squared distances to the borders crossed. How far it visits
+is not fixed: the radius is found by simulation, for the number of projections that the number of vectors asks for, such that pairs at
+the least cosine meet with probability RECALL. Inside a cell a second layer of several tables with more projections and probes runs in memory,
+at no cost of moving data; candidates of all tables are merged and ranked by exact cosines. Cells that are crowded are hashed again
+by further projections whose width is scaled to the cell's own spread.
+
+Equal vectors form a class that is searched once, for its smallest id.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemesh.runtime import materialize
+from passagemesh.runtime import bounded, materialize
 
 DIMS = 64
-#: Tables, perturbed buckets visited per table, slot width (projections of unit vectors have standard deviation 1).
-TABLES, PROBES, WIDTH = 4, 2, 2.4
-#: Expected rows of a bucket; bits that one projection tells apart; candidates kept per query and bucket.
-BUCKET, BITS, KEPT = 1000, 0.9, 8
-#: Rows (copies) of a partition in which buckets meet.
-PARTITION_ROWS = 120_000
+#: Slot width (projections of unit vectors have standard deviation 1); vectors that a cell should hold; a cell with more than CROWDED times that is hashed again.
+WIDTH, CELL, CROWDED = 2.4, 100_000, 4
+#: Probability with which a pair at the least cosine meets in a cell; pairs simulated to find the radius.
+RECALL, SIMULATED = 0.98, 20_000
+#: Inside a cell: tables, perturbed buckets per table, vectors that a bucket should hold, bits that a projection tells apart.
+TABLES, PROBES, BUCKET, BITS = 3, 15, 100, 1.2
+#: Most projections of the first layer; of each further one; further layers.
+MOST, FURTHER, LAYERS = 24, 8, 5
+#: Products held at once; candidates held before they are reduced.
+BLOCK, HELD = 2_000_000, 2_000_000
+#: What single precision may change of a cosine.
+SLACK = 4e-6
 SEED = 20
+#: Parts into which the members of a large class are split.
+SALTS = 32
+
+
+# --- exact vectors as bytes ---------------------------------------------------------------------------------------------
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row without loss in the shortest of: two-byte integers times a power of ten, single precision, double precision. Equal rows give equal bytes."""
+    x = x + 0.0  # one zero
+    kind = np.full(len(x), 255)
+    kind[(x.astype("<f4").astype("<f8") == x).all(axis=1)] = 254
+    ints = np.zeros(x.shape, dtype="<i2")
+    for d in range(10):
+        left = kind > 9
+        if not left.any():
+            break
+        y = np.rint(x[left] * 10.0**d)
+        ok = ((np.abs(y) < 32767) & (y / 10.0**d == x[left])).all(axis=1)
+        at = np.flatnonzero(left)[ok]
+        ints[at], kind[at] = y[ok], d
+    f4, f8 = x.astype("<f4"), x.astype("<f8")
+    return [bytes([k]) + (ints[i] if k < 10 else f4[i] if k == 254 else f8[i]).tobytes() for i, k in enumerate(kind.tolist())]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The rows at unit length."""
+    x = np.empty((len(rows), DIMS))
+    kind = np.fromiter((r[0] for r in rows), dtype=np.int64, count=len(rows))
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        data = b"".join(rows[i][1:] for i in at)
+        got = np.frombuffer(data, "<i2" if k < 10 else "<f4" if k == 254 else "<f8").reshape(-1, DIMS)
+        x[at] = got / 10.0 ** int(k) if k < 10 else got
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that take part, and their vectors: of 64 finite numbers, not all zero."""
+    at = np.flatnonzero(np.asarray(column.value_lengths().fill_null(-1)) == DIMS)
+    if not len(at):
+        return at, np.zeros((0, DIMS))
+    flat = column.take(pa.array(at)).flatten().cast(pa.float64())
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, DIMS)  # nulls become NaN
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    return at[ok], x[ok]
+
+
+# --- the first layer: cells ---------------------------------------------------------------------------------------------
+
+
+def _directions(seed: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(DIMS, DIMS)))[0] * math.sqrt(DIMS)
+
+
+def projections(n: int, cell: int = CELL) -> int:
+    """Projections of the first layer for ``n`` vectors: each halves a cell."""
+    return max(0, min(MOST, math.ceil(math.log2(max(n, 1) / cell))))
+
+
+@lru_cache(maxsize=None)
+def radius(m: int, least: float, recall: float = RECALL, seed: int = SEED) -> float:
+    """How far, in projected distance to the borders crossed, a vector must visit for a pair at cosine ``least`` to meet with probability ``recall``."""
+    if not m:
+        return 0.0
+    rng = np.random.default_rng(seed + 1)
+    a = rng.normal(size=(SIMULATED, DIMS))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(SIMULATED, DIMS))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = least * a + math.sqrt(max(0.0, 1 - least * least)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    fa, fb = (v @ _directions(seed)[:, :m] / WIDTH for v in (a, b))
+    step = np.floor(fb) - np.floor(fa)
+
+    def need(f: np.ndarray, step: np.ndarray) -> np.ndarray:
+        down = f - np.floor(f)
+        cost = np.where(step == 0, 0, np.where(step < 0, down, 1 - down) ** 2)
+        return np.where(np.abs(step).max(axis=1) > 1, np.inf, cost.sum(axis=1))
+
+    either = np.minimum(need(fa, step), need(fb, -step))
+    return float(np.sqrt(np.quantile(either, recall, method="higher"))) * WIDTH
+
+
+class Cells:
+    """Places vectors in cells. ``m`` projections, the radius of visits, and per further layer the spread of each crowded cell of the one before."""
+
+    def __init__(self, m: int, least: float, layers: list[dict[int, float]] | None = None, recall: float = RECALL) -> None:
+        self.m, self.least, self.recall, self.layers = m, least, recall, layers or []
+        self.directions = _directions(SEED)
+
+    def _columns(self, layer: int) -> np.ndarray:
+        first = self.m + FURTHER * (layer - 1)
+        return np.arange(self.m) if not layer else np.arange(first, first + FURTHER) % DIMS
+
+    def project(self, x: np.ndarray, layer: int) -> np.ndarray:
+        """Projections of the layer, which those of its cells' spread are taken of."""
+        return x @ self.directions[:, self._columns(layer)]
+
+    def _expand(self, f: np.ndarray, key: np.ndarray, visits: bool, layer: int, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, own) of the slots of ``f`` (in widths) that are visited, the own ones first."""
+        slot = np.floor(f)
+        down = f - slot
+        n = len(f)
+        which, key, cost, own = np.arange(n), key * np.int64(1_000_003) + layer, np.zeros(n), np.ones(n, dtype=bool)
+        most = (radius(f.shape[1], self.least, self.recall) / WIDTH) ** 2
+        with np.errstate(over="ignore"):
+            for i in range(f.shape[1]):
+                parts = [(which, key, cost, own, 0)]
+                if visits:
+                    for step, d in ((-1, down[which, i]), (1, 1 - down[which, i])):
+                        ok = cost + d * d <= most
+                        parts.append((which[ok], key[ok], (cost + d * d)[ok], np.zeros(int(ok.sum()), dtype=bool), step))
+                key = np.concatenate([k * np.int64(-7046029254386353131) + (slot[w, i].astype(np.int64) + s) * np.int64(2654435761) + 1 for w, k, _, _, s in parts])
+                which, cost, own = (np.concatenate([p[j] for p in parts]) for j in (0, 2, 3))
+        return row[which], key, own
+
+    def place(self, x: np.ndarray, visits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, own): the cells each row of ``x`` is sent to; ``own`` is the one it lies in."""
+        n = len(x)
+        row, key, own = self._expand(self.project(x, 0) / WIDTH, np.zeros(n, dtype=np.int64), visits, 0, np.arange(n))
+        for layer, crowded in enumerate(self.layers, 1):
+            known = np.array(sorted(crowded), dtype=np.int64)
+            at = np.searchsorted(known, key).clip(0, max(len(known) - 1, 0))
+            hot = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
+            if not hot.any():
+                continue
+            spread = np.array([crowded[int(k)] for k in known])[at[hot]]
+            f = self.project(x[row[hot]], layer) / (WIDTH * spread[:, None])
+            more = self._expand(f, key[hot], visits, layer, row[hot])
+            was = own[hot]
+            # a visitor's slot in the crowded cell is a visit too
+            r, k, o = more
+            mine = np.zeros(n, dtype=bool)
+            mine[row[hot][was]] = True
+            row, key, own = np.concatenate([row[~hot], r]), np.concatenate([key[~hot], k]), np.concatenate([own[~hot], o & mine[r]])
+        return row, key, own
 
 
-def projections(n: int) -> int:
-    """Projections per table for ``n`` vectors."""
-    return max(1, min(24, round(math.log2(max(n, 2) / BUCKET) / BITS))) if n > BUCKET else 1
+# --- the second layer: inside a cell ------------------------------------------------------------------------------------
 
 
 def perturbations(m: int, count: int) -> list[tuple[int, ...]]:
@@ -48,159 +195,316 @@ def perturbations(m: int, count: int) -> list[tuple[int, ...]]:
     return sorted(sets, key=lambda s: sum(expected[x] for x in s))[:count]
 
 
-class Hashes:
-    """The tables' projections, made from a seed alone, so every worker has the same."""
+def buckets(x: np.ndarray, m: int, table: int, probes: int = PROBES) -> list[np.ndarray]:
+    """The bucket of each row in one table, then those of its perturbations in order of expected success."""
+    rng = np.random.default_rng(SEED * 1000 + table)
+    f = (x @ _directions(SEED * 1000 + table)[:, :m] + rng.uniform(0, WIDTH, m)) / WIDTH
+    mult = rng.integers(1, 2**62, m, dtype=np.int64) | 1
+    slot = np.floor(f)
+    with np.errstate(over="ignore"):
+        own = (slot.astype(np.int64) * mult).sum(axis=1)
+        down = f - slot
+        order = np.argsort(np.concatenate([down, 1 - down], axis=1), axis=1, kind="stable")
+        step = np.concatenate([-mult, mult])
+        return [own] + [own + sum(step[order[:, r]] for r in borders) for borders in perturbations(m, probes)]
+
+
+class _Best:
+    """The best ``k`` candidates of every row so far, and what a further one must reach."""
+
+    def __init__(self, n: int, k: int, least: float) -> None:
+        self.n, self.k = n, k
+        self.floor = np.full(n, least - SLACK, dtype=np.float32)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+        for a, b in ((q, i), (i, q)):
+            ok = (s >= self.floor[a]) & (a != b)
+            self.parts.append((a[ok].astype(np.int64) * self.n + b[ok], s[ok]))
+            self.held += int(ok.sum())
+        if self.held > HELD:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, candidate): those that may be among the best, all equal ones too."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, first = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True)
+        s = np.concatenate([p[1] for p in self.parts])[first]
+        a = key // self.n
+        order = np.lexsort((-s, a))
+        start = np.searchsorted(a[order], np.arange(self.n + 1))
+        full = np.flatnonzero(np.diff(start) >= self.k)
+        self.floor[full] = np.maximum(self.floor[full], s[order][start[full] + self.k - 1] - SLACK)
+        ok = s >= self.floor[a]
+        self.parts, self.held = [(key[ok], s[ok])], 0  # what is kept is no reason to reduce again
+        return a[ok], key[ok] % self.n
+
+
+def inside(x: np.ndarray, home: np.ndarray, rank: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, cosine): of each row of a cell its ``k`` best others of which one lies in the cell, by cosine, then ``rank``.
+
+    ``x`` are unit vectors; rows that are not ``home`` are visitors.
+    """
+    n, single = len(x), x.astype(np.float32)
+    homes = np.flatnonzero(home)
+    best = _Best(n, k, least)
+    m = max(0, round(math.log2(max(len(homes), 1) / BUCKET) / BITS))
+    for table in range(TABLES if m > 0 else 1):
+        keys = buckets(x, m, table) if m > 0 else [np.zeros(n, dtype=np.int64)]
+        order = homes[np.argsort(keys[0][homes], kind="stable")]
+        known, start = np.unique(keys[0][order], return_index=True)
+        end = np.append(start[1:], len(order))
+        to, who = [], []
+        for key in keys:
+            at = np.searchsorted(known, key).clip(0, len(known) - 1)
+            ok = np.flatnonzero(known[at] == key)
+            to.append(at[ok])
+            who.append(ok)
+        to, who = np.concatenate(to), np.concatenate(who)
+        who = who[np.argsort(to, kind="stable")]
+        cuts = np.cumsum(np.bincount(to, minlength=len(known)))
+        for b, (lo, hi) in enumerate(zip(np.append(0, cuts[:-1]), cuts)):
+            for h in range(start[b], end[b], 20_000):  # a bucket of whatever size, in blocks
+                mine = order[h : min(h + 20_000, end[b])]
+                block = max(64, BLOCK // len(mine))
+                for at in range(lo, hi, block):
+                    q = who[at : min(at + block, hi)]
+                    sims = single[q] @ single[mine].T
+                    r, c = np.nonzero(sims >= min(best.floor[q].min(), best.floor[mine].min()))
+                    if len(r):
+                        best.add(q[r], mine[c], sims[r, c])
+        best.reduce()
+    a, b = best.reduce()
+    cosine = np.empty(len(a))
+    for at in range(0, len(a), 200_000):
+        s = slice(at, at + 200_000)
+        cosine[s] = np.einsum("ij,ij->i", x[a[s]], x[b[s]])
+    cosine = np.round(np.minimum(cosine, 1.0), 6)
+    ok = cosine >= least
+    a, b, cosine = a[ok], b[ok], cosine[ok]
+    order = np.lexsort((rank[b], -cosine, a))
+    a, b, cosine = a[order], b[order], cosine[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[place < k], b[place < k], cosine[place < k]
+
+
+# --- the tasks ----------------------------------------------------------------------------------------------------------
+
+_KEPT = "kind string, id string, class binary, vec binary"
+_SENT = "cell long, own boolean, kind string, id string, vec binary"
+_NEAR = "kind string, id string, c array<struct<d:int,other:string>>"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that take part, with their exact vectors and classes; equal rows of a task once, so that no class floods a cell."""
+    seen: set[tuple[str, str, bytes]] = set()
+    for b in batches:
+        rows, x = _usable(b.column("embedding"))
+        if not len(rows):
+            continue
+        vec = packed(x)
+        classes = [hashlib.blake2b(v, digest_size=16).digest() for v in vec]
+        kinds, ids = (b.column(n).take(pa.array(rows)).to_pylist() for n in ("kind", "id"))
+        new = []
+        for i, key in enumerate(zip(kinds, ids, classes)):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        pick = lambda v: [v[i] for i in new]
+        yield pa.RecordBatch.from_arrays([pa.array(pick(kinds), pa.string()), pa.array(pick(ids), pa.string()), pa.array(pick(classes), pa.binary()), pa.array(pick(vec), pa.binary())], ["kind", "id", "class", "vec"])
 
-    def __init__(self, m: int, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> None:
-        rng = np.random.default_rng(seed)
-        self.m, self.probes, self.width = m, perturbations(m, probes), width
-        self.tables = []
-        for _ in range(tables):
-            directions = np.linalg.qr(rng.normal(size=(DIMS, DIMS)))[0][:, :m] * math.sqrt(DIMS)
-            self.tables.append((directions, rng.uniform(0, width, m), rng.integers(1, 2**62, m, dtype=np.int64) | 1))
 
-    def buckets(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(table, visit, bucket of each row): visit 0 is the row's own bucket."""
-        with np.errstate(over="ignore"):
-            for number, (directions, shift, mult) in enumerate(self.tables):
-                f = (x @ directions + shift) / self.width
-                slot = np.floor(f)
-                own = (slot.astype(np.int64) * mult).sum(axis=1) * np.int64(2 * len(self.tables) + 1) + number
-                yield number, 0, own
-                down = f - slot
-                order = np.argsort(np.concatenate([down, 1 - down], axis=1), axis=1, kind="stable")
-                step = np.concatenate([-mult, mult]) * np.int64(2 * len(self.tables) + 1)
-                for k, borders in enumerate(self.probes):
-                    yield number, k + 1, own + sum(step[order[:, r]] for r in borders)
-
-
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that take part, and their vectors scaled to unit length: of 64 finite numbers, not all zero."""
-    size = np.asarray(column.value_lengths().fill_null(-1))
-    at = np.flatnonzero(size == DIMS)
-    if not len(at):
-        return at, np.zeros((0, DIMS))
-    flat = column.take(pa.array(at)).flatten().cast(pa.float64())
-    x = flat.to_numpy(zero_copy_only=False).reshape(-1, DIMS)  # nulls become NaN
-    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-    x = x[ok]
-    top = np.abs(x).max(axis=1, keepdims=True)
-    x = x / top  # so that squares neither overflow nor vanish
-    return at[ok], x / np.linalg.norm(x, axis=1, keepdims=True)
+def _mixed(kind: str, cell: np.ndarray) -> np.ndarray:
+    """Cells of different kinds apart."""
+    with np.errstate(over="ignore"):
+        return cell ^ np.int64(int.from_bytes(hashlib.blake2b(kind.encode(), digest_size=8).digest(), "big", signed=True))
 
 
-def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows, x = _unit(b.column("embedding"))
-        if not len(rows):
-            continue
-        same = [r.tobytes() for r in np.round(x, 9) + 0.0]
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), pa.array(same, pa.binary()), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], ["id", "same", "vec"])
+def _by_kind(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    kinds = np.asarray(b.column("kind").to_pylist(), dtype=object)
+    vec = b.column("vec").to_pylist()
+    for kind in sorted(set(kinds)):
+        at = np.flatnonzero(kinds == kind)
+        yield kind, at, unpacked([vec[i] for i in at])
+
+
+def _marked(cells: dict[str, Cells]):
+    """(kind, id, class, cell) of the rows, without their vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _read(batches):
+            cell = np.zeros(b.num_rows, dtype=np.int64)
+            for kind, at, x in _by_kind(b):
+                row, key, _ = cells[kind].place(x, visits=False)
+                cell[at[row]] = key
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), b.column("class"), pa.array(cell)], ["kind", "id", "class", "cell"])
+
+    return run
+
 
+def _spreads(cells: dict[str, Cells], crowded: dict[str, set[int]], layer: int):
+    """Per crowded cell, counts, sums and sums of squares of the next layer's projections."""
 
-def _visits(m: int, tables: int, probes: int, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(m, tables, probes, width)
-        for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                part = b.slice(at, 5000)
-                x = np.frombuffer(b"".join(part.column("vec").to_pylist()), "<f4").reshape(-1, DIMS).astype(float)
-                for _, visit, bucket in hashes.buckets(x):
-                    home = pa.array(np.full(len(x), visit == 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), home, part.column("class"), part.column("vec")], ["bucket", "home", "class", "vec"])
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for b in _read(batches):
+            for kind, _, x in _by_kind(b):
+                row, key, _ = cells[kind].place(x, visits=False)
+                f = cells[kind].project(x[row], layer)
+                for k in crowded.get(kind, ()):
+                    p = f[key == k]
+                    if len(p):
+                        total[kind, k] = total.get((kind, k), 0) + np.array([len(p), p.sum(), (p * p).sum()] + p.sum(axis=0).tolist())
+        rows = [(kind, k, t.tolist()) for (kind, k), t in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["kind", "cell", "t"])
 
     return run
 
 
-def _met(least: float, kept: int):
-    """Exact cosines of the rows of each bucket: each query's best, in both directions."""
+def _visits(cells: dict[str, Cells]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5000):
+                b = whole.slice(at, 5000)
+                for kind, rows, x in _by_kind(b):
+                    row, key, own = cells[kind].place(x)
+                    take = pa.array(rows[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(kind, key)), pa.array(own), b.column("kind").take(take), b.column("id").take(take), b.column("vec").take(take)], ["cell", "own", "kind", "id", "vec"])
+
+    return run
 
-    def emit(q: np.ndarray, i: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([q, i])), pa.array(np.concatenate([i, q])), pa.array(np.concatenate([c, c]))], ["a", "b", "cosine"])
 
+def _searched(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        t = pa.Table.from_batches(parts)
-        bucket, home, ids = (t.column(k).to_numpy() for k in ("bucket", "home", "class"))
-        vecs = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), "<f4").reshape(-1, DIMS) for c in t.column("vec").chunks])
-        del t, parts
-        order = np.lexsort((~home, bucket))
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-        q_out, i_out, c_out, held = [], [], [], 0
-        for lo, hi in zip(starts, np.append(starts[1:], len(order))):
-            rows = order[lo:hi]
-            n = int(home[rows].sum())  # home rows come first
-            if not n or len(rows) < 2:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        t = t.sort_by([("cell", "ascending"), ("own", "descending")])
+        cell = t.column("cell").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
+        for lo, hi in zip(starts, np.append(starts[1:], len(cell))):
+            part = t.slice(lo, hi - lo).combine_chunks()
+            code = part.column("id").combine_chunks().dictionary_encode().indices.to_numpy()
+            one = np.sort(np.unique(code, return_index=True)[1])  # own rows come first
+            part = part.take(pa.array(one)).combine_chunks()
+            home = part.column("own").to_numpy()
+            if not home.any() or part.num_rows < 2:
                 continue
-            inside = vecs[rows[:n]]
-            inside_ids = ids[rows[:n]]
-            block = max(64, 2_000_000 // n)
-            for at in range(0, len(rows), block):
-                q = rows[at : at + block]
-                sims = vecs[q] @ inside.T
-                sims[ids[q][:, None] == inside_ids[None, :]] = -2
-                if n > kept:
-                    floor = np.partition(sims, n - kept, axis=1)[:, n - kept]
-                    good = sims >= np.maximum(floor, least - 1e-5)[:, None]
-                else:
-                    good = sims >= least - 1e-5
-                r, c = np.nonzero(good)
-                if len(r):
-                    exact = np.einsum("ij,ij->i", vecs[q[r]].astype(float), inside[c].astype(float))
-                    exact = np.round(np.minimum(exact, 1.0), 6)
-                    ok = exact >= least
-                    q_out.append(ids[q[r]][ok])
-                    i_out.append(inside_ids[c][ok])
-                    c_out.append(exact[ok])
-                    held += int(ok.sum())
-            if held > 100_000:
-                yield emit(np.concatenate(q_out), np.concatenate(i_out), np.concatenate(c_out))
-                q_out, i_out, c_out, held = [], [], [], 0
-        if held:
-            yield emit(np.concatenate(q_out), np.concatenate(i_out), np.concatenate(c_out))
+            ids = part.column("id").combine_chunks()
+            rank = np.empty(len(ids), dtype=np.int64)
+            rank[pc.sort_indices(ids.cast(pa.binary())).to_numpy()] = np.arange(len(ids))
+            a, b, cosine = inside(unpacked(part.column("vec").to_pylist()), home, rank, k, least)
+            who, first = np.unique(a, return_index=True)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.append(first, len(a)), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(-np.rint(cosine * 1e6).astype(np.int32)), ids.take(pa.array(b))], ["d", "other"]),
+            )
+            yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks().take(pa.array(who)), ids.take(pa.array(who)), lists], ["kind", "id", "c"])
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
-    """(id, other, cosine, rank): of each id the up to ``k`` most similar other ids at ``least`` cosine, equal ones by smaller id.
-
-    ``vectors`` has ``id`` (string) and ``embedding``. Only vectors of 64 finite numbers that are not all zero take part; rows with a null id
-    do not; an id that is repeated counts once, with one of its vectors. Cosines are rounded to six decimals. Equal vectors, however
-    many, are hashed once as a class, and each is given the smallest ids of its class. Empty input gives an empty result.
+# --- the plan -----------------------------------------------------------------------------------------------------------
+
+
+def _crowded(rows: DataFrame, marks: DataFrame, cells: dict[str, Cells], cell: int) -> DataFrame:
+    """Adds layers to ``cells`` until no cell is crowded or all layers are used; the marks with the final cells. Only crowded cells reach the driver: fewer than vectors / (CROWDED * cell)."""
+    for layer in range(1, LAYERS + 1):
+        if not any(c.m for c in cells.values()):
+            break
+        hot = marks.groupBy("kind", "cell").agg(F.approx_count_distinct("class").alias("n")).filter(F.col("n") > CROWDED * cell).collect()
+        if not hot:
+            break
+        by: dict[str, set[int]] = {}
+        for r in hot:
+            by.setdefault(r["kind"], set()).add(r["cell"])
+        sums = rows.mapInArrow(_spreads(cells, by, layer), "kind string, cell long, t array<double>")
+        width = 3 + FURTHER
+        sums = sums.groupBy("kind", "cell").agg(F.array(*[F.sum(F.col("t")[i]) for i in range(width)]).alias("t")).collect()
+        for kind, c in cells.items():
+            spread = {}
+            for r in sums:
+                if r["kind"] == kind:
+                    n, _, squares, *each = r["t"]
+                    spread[r["cell"]] = max(1e-9, math.sqrt(max(0.0, squares / n - sum((s / n) ** 2 for s in each)) / FURTHER))
+            c.layers.append(spread)
+        marks = materialize(rows.mapInArrow(_marked(cells), "kind string, id string, class binary, cell long"), "marks")
+    return marks
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, cell: int = CELL, recall: float = RECALL) -> DataFrame:
+    """(kind, id, other, cosine, rank): of each id the up to ``k`` most similar other ids of its kind at ``least`` cosine, equal ones by smaller id.
+
+    ``vectors`` has ``id`` (string), ``embedding`` and, where several sets are searched at once, ``kind``. Only vectors of 64 finite numbers that are not
+    all zero take part; rows with a null id do not; an id that is repeated counts once, with one of its vectors. Cosines are rounded to six decimals. Equal
+    vectors, however many, are searched once as a class (told apart by 128 bits of a digest of their bytes), and each is given the smallest ids of its class.
+    A pair at cosine ``least`` is met with a probability of about ``recall``, a closer one with a higher one. Empty input gives an empty result.
     """
-    x = vectors.select("id", "embedding").filter(F.col("id").isNotNull() & F.col("embedding").isNotNull())
-    x = x.mapInArrow(_normalised, "id string, same binary, vec binary")
-    one = x.groupBy("id").agg(F.min(F.struct("same", "vec")).alias("v")).select("id", F.xxhash64("v.same").alias("class"), "v.vec")
-    ids = materialize(one, "unit")
-    members = ids.select("class", "id")
-    classes = ids.groupBy("class").agg(F.min("vec").alias("vec"))
-    n = classes.count()
-    m = projections(n)
-    visits = classes.mapInArrow(_visits(m, tables, probes, width), "bucket long, home boolean, class long, vec binary")
+    kind = F.col("kind") if "kind" in vectors.columns else F.lit("")
+    rows = vectors.select(kind.alias("kind"), "id", "embedding").filter("id IS NOT NULL AND embedding IS NOT NULL")
+    sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a kind
+    cells = {name: Cells(projections(n, cell), least, [], recall) for name, n in sizes.items()}
+    marks = materialize(rows.mapInArrow(_marked(cells), "kind string, id string, class binary, cell long"), "marks")
+    marks = _crowded(rows, marks, cells, cell)
+
+    # Ids with several vectors keep the one of the smallest class; classes of several ids are searched for the smallest id.
+    h = F.xxhash64("kind", "id")
+    doubtful = marks.groupBy(h.alias("h")).agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("h")
+    several = marks.groupBy("kind", "class").agg(F.min(h).alias("a"), F.max(h).alias("b")).filter("a <> b").select("kind", "class")
+    kept = materialize(marks.withColumn("h", h).join(bounded(materialize(doubtful, "doubtful")), "h", "left_semi").groupBy("kind", "id").agg(F.min("class").alias("keep")), "kept")
+    twins = marks.join(bounded(materialize(several, "several")), ["kind", "class"], "left_semi").select("kind", "id", "class").distinct()
+    has_kept = not kept.isEmpty()
+    if has_kept:
+        twins = twins.join(bounded(kept), ["kind", "id"], "left").filter("keep IS NULL OR keep = class").drop("keep")
+    w = Window.partitionBy("kind", "class").orderBy("id")
+    twins = materialize(twins, "twins")
+    small = twins.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    small = small.groupBy("kind", "class").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("kind", "class", F.col("ids")[0].alias("first"), "ids")
+    small = materialize(small, "small")
+    has_twins = not small.isEmpty()
+
+    one = rows.mapInArrow(_read, _KEPT)
+    if has_kept:
+        one = one.join(bounded(kept), ["kind", "id"], "left").filter("keep IS NULL OR keep = class").drop("keep")
+    if has_twins:
+        one = one.join(bounded(small.select("kind", "class", "first")), ["kind", "class"], "left").filter("first IS NULL OR first = id")
     spark = vectors.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables * (1 + probes) / PARTITION_ROWS))
-    met = visits.repartition(parts, "bucket").mapInArrow(_met(least, max(KEPT, k + 3)), "a long, b long, cosine double")
-    # A class's candidates, merged: a pair may have met in several buckets.
-    pairs = met.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    # The up to k+1 smallest ids of each class stand for it: no more can be among anyone's k best.
-    w = Window.partitionBy("class").orderBy("id")
-    small = members.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).drop("r")
-    first = members.groupBy("class").agg(F.min("id").alias("first"))
-    best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "first")
-    near = pairs.join(first, pairs.b == first["class"]).drop("class").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
-    others = near.join(small, near.b == small["class"]).select(F.col("a").alias("class"), F.col("id").alias("other"), "cosine")
-    twins = small.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(small, "class").select("class", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
-    # At most (k+1)^2 candidates a class, gathered best first and cut to k+1; then each member takes its k best others.
-    gathered = others.unionByName(twins).groupBy("class").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k + 1).alias("c"))
-    own = members.join(gathered, "class")
-    mine = own.select("id", F.slice(F.filter("c", lambda e: e["other"] != F.col("id")), 1, k).alias("c"))
-    return mine.select("id", F.posexplode("c").alias("p", "e")).select("id", F.col("e.other").alias("other"), (-F.col("e.d")).alias("cosine"), (F.col("p") + 1).alias("rank"))
-
-
-def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
-    """Distinct (id_a, id_b), id_a < id_b, where either is among the other's ``k`` most similar at ``least`` cosine."""
-    near = nearest(vectors, k, least)
-    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * math.ceil(sum(sizes.values()) / cell))
+    sent = one.select("kind", "id", "vec").mapInArrow(_visits(cells), _SENT)
+    near = sent.repartition(parts, "cell").mapInArrow(_searched(k, least), _NEAR)
+    if has_twins:
+        near = near.unionByName(small.select("kind", F.col("first").alias("id"), F.transform("ids", lambda i: F.struct(F.lit(-1_000_000).alias("d"), i.alias("other"))).alias("c")))
+    # A row's lists, at most one a cell it visited, merged.
+    cut = lambda c, n: F.slice(F.array_sort(F.array_distinct(F.filter(c, lambda e: e["other"] != F.col("id")))), 1, n)
+    merged = near.groupBy("kind", "id").agg(F.flatten(F.collect_list("c")).alias("c"))
+    if not has_twins:
+        mine = merged.select("kind", "id", cut("c", k).alias("c"))
+    else:
+        mine = _expanded(merged, small, twins, k)
+    return mine.select("kind", "id", F.posexplode("c").alias("p", "e")).select("kind", "id", F.col("e.other").alias("other"), (F.col("e.d") / -1e6).alias("cosine"), (F.col("p") + 1).alias("rank"))
+
+
+def _expanded(merged: DataFrame, small: DataFrame, twins: DataFrame, k: int) -> DataFrame:
+    """The merged lists (kind, id, c) of classes' smallest ids as those of all ids: candidates stand for their class, and members get the list of theirs."""
+    best = merged.select("kind", "id", F.slice(F.array_sort(F.array_distinct("c")), 1, 2 * k + 2).alias("c"))
+    flat = best.select("kind", "id", F.explode("c").alias("e")).select("kind", "id", F.col("e.d").alias("d"), F.col("e.other").alias("first"))
+    flat = flat.join(bounded(small.select("kind", "first", "ids")), ["kind", "first"], "left")
+    each = F.transform(F.coalesce("ids", F.array("first")), lambda i: F.struct(F.col("d"), i.alias("other")))
+    grown = flat.select("kind", "id", each.alias("c")).groupBy("kind", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))), 1, k + 1).alias("c"))
+    named = grown.join(bounded(small.select("kind", F.col("first").alias("id"), F.lit(True).alias("several"))), ["kind", "id"], "left")
+    mine = lambda c: F.slice(F.filter(c, lambda e: e["other"] != F.col("id")), 1, k)
+    single = named.filter("several IS NULL").select("kind", "id", mine("c").alias("c"))
+    # Members of a class, however many, meet its one list in SALTS parts.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    members = twins.join(bounded(small.select("kind", "class", "first")), ["kind", "class"]).select("kind", "first", "id", salt.alias("salt"))
+    lists = named.filter("several").select("kind", F.col("id").alias("first"), "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return single.unionByName(members.join(lists, ["kind", "first", "salt"]).select("kind", "id", mine("c").alias("c")))
+
+
+def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, cell: int = CELL, recall: float = RECALL) -> DataFrame:
+    """Distinct (kind, id_a, id_b), id_a < id_b, where either is among the other's ``k`` most similar at ``least`` cosine."""
+    near = nearest(vectors, k, least, cell, recall)
+    return near.select("kind", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -91,12 +91,8 @@ SELECT source_chunk_id, target_chunk_id FROM ranked WHERE r <= 5
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for kind in ("chunk", "sentence"):
-        v = table(spark, sf, f"{kind}_embeddings").select(F.col(f"{kind}_id").alias("id"), "embedding")
-        got = neighbours.similar_pairs(v).select(F.lit(kind).alias("granularity"), "id_a", "id_b")
-        out = got if out is None else out.unionByName(got)
-    return out
+    chunk, sentence = (table(spark, sf, f"{k}_embeddings").select(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id"), "embedding") for k in ("chunk", "sentence"))
+    return neighbours.similar_pairs(chunk.unionByName(sentence)).withColumnRenamed("kind", "granularity")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
