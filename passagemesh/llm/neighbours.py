@@ -33,11 +33,11 @@ WIDTH, CELL, CROWDED = 2.4, 100_000, 4
 #: Probability with which a pair at the least cosine meets in a cell; pairs simulated to find the radius.
 RECALL, SIMULATED = 0.98, 20_000
 #: Inside a cell: tables, perturbed buckets per table, vectors that a bucket should hold, bits that a projection tells apart.
-TABLES, PROBES, BUCKET, BITS = 3, 15, 100, 1.2
+TABLES, PROBES, BUCKET, BITS = 3, 15, 50, 1.2
 #: Most projections of the first layer; of each further one; further layers.
 MOST, FURTHER, LAYERS = 24, 8, 5
 #: Products held at once; candidates held before they are reduced.
-BLOCK, HELD = 2_000_000, 2_000_000
+BLOCK, HELD = 250_000, 2_000_000
 #: What single precision may change of a cosine.
 SLACK = 4e-6
 SEED = 20
@@ -48,6 +48,7 @@ SALTS = 32
 # --- exact vectors as bytes ---------------------------------------------------------------------------------------------
 
 
+@np.errstate(over="ignore")
 def packed(x: np.ndarray) -> list[bytes]:
     """Each row without loss in the shortest of: two-byte integers times a power of ten, single precision, double precision. Equal rows give equal bytes."""
     x = x + 0.0  # one zero
@@ -266,14 +267,15 @@ def inside(x: np.ndarray, home: np.ndarray, rank: np.ndarray, k: int, least: flo
         who = who[np.argsort(to, kind="stable")]
         cuts = np.cumsum(np.bincount(to, minlength=len(known)))
         for b, (lo, hi) in enumerate(zip(np.append(0, cuts[:-1]), cuts)):
-            for h in range(start[b], end[b], 20_000):  # a bucket of whatever size, in blocks
-                mine = order[h : min(h + 20_000, end[b])]
+            for h in range(start[b], end[b], 2000):  # a bucket of whatever size, in blocks
+                mine = order[h : min(h + 2000, end[b])]
                 block = max(64, BLOCK // len(mine))
                 for at in range(lo, hi, block):
                     q = who[at : min(at + block, hi)]
                     sims = single[q] @ single[mine].T
-                    r, c = np.nonzero(sims >= min(best.floor[q].min(), best.floor[mine].min()))
-                    if len(r):
+                    at_least = np.flatnonzero(sims.ravel() >= min(best.floor[q].min(), best.floor[mine].min()))
+                    if len(at_least):
+                        r, c = np.divmod(at_least, len(mine))
                         best.add(q[r], mine[c], sims[r, c])
         best.reduce()
     a, b = best.reduce()
@@ -293,7 +295,7 @@ def inside(x: np.ndarray, home: np.ndarray, rank: np.ndarray, k: int, least: flo
 # --- the tasks ----------------------------------------------------------------------------------------------------------
 
 _KEPT = "kind string, id string, class binary, vec binary"
-_SENT = "cell long, own boolean, kind string, id string, vec binary"
+_SENT = "cell long, own boolean, kind string, id string, ids array<string>, vec binary"
 _NEAR = "kind string, id string, c array<struct<d:int,other:string>>"
 
 
@@ -371,11 +373,34 @@ def _visits(cells: dict[str, Cells]):
                 for kind, rows, x in _by_kind(b):
                     row, key, own = cells[kind].place(x)
                     take = pa.array(rows[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(kind, key)), pa.array(own), b.column("kind").take(take), b.column("id").take(take), b.column("vec").take(take)], ["cell", "own", "kind", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(kind, key)), pa.array(own), *[b.column(n).take(take) for n in ("kind", "id", "ids", "vec")]], ["cell", "own", "kind", "id", "ids", "vec"])
 
     return run
 
 
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """The place of each id by code point."""
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[pc.sort_indices(ids.cast(pa.binary())).to_numpy()] = np.arange(len(ids))
+    return rank
+
+
+def _standing(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, ids: pa.Array, classes: pa.Array, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, id, cosine): candidates as the smallest ids of their classes, each row's best ``k``."""
+    size = np.asarray(classes.value_lengths().fill_null(0))[b]
+    if not size.any():
+        return a, ids.take(pa.array(b)), cosine
+    single = np.flatnonzero(size == 0)
+    several = np.flatnonzero(size)
+    flat = classes.take(pa.array(b[several])).flatten()
+    from_ = np.concatenate([single, np.repeat(several, size[several])])
+    other = pa.concat_arrays([ids.take(pa.array(b[single])), flat])
+    order = np.lexsort((_ranks(other), -cosine[from_], a[from_]))
+    a, cosine = a[from_][order], cosine[from_][order]
+    ok = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[ok], other.take(pa.array(order[ok])), cosine[ok]
+
+
 def _searched(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -394,14 +419,10 @@ def _searched(k: int, least: float):
             if not home.any() or part.num_rows < 2:
                 continue
             ids = part.column("id").combine_chunks()
-            rank = np.empty(len(ids), dtype=np.int64)
-            rank[pc.sort_indices(ids.cast(pa.binary())).to_numpy()] = np.arange(len(ids))
-            a, b, cosine = inside(unpacked(part.column("vec").to_pylist()), home, rank, k, least)
+            a, b, cosine = inside(unpacked(part.column("vec").to_pylist()), home, _ranks(ids), k, least)
+            a, other, cosine = _standing(a, b, cosine, ids, part.column("ids").combine_chunks(), k)
             who, first = np.unique(a, return_index=True)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.append(first, len(a)), pa.int32()),
-                pa.StructArray.from_arrays([pa.array(-np.rint(cosine * 1e6).astype(np.int32)), ids.take(pa.array(b))], ["d", "other"]),
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.StructArray.from_arrays([pa.array(-np.rint(cosine * 1e6).astype(np.int32)), other], ["d", "other"]))
             yield pa.RecordBatch.from_arrays([part.column("kind").combine_chunks().take(pa.array(who)), ids.take(pa.array(who)), lists], ["kind", "id", "c"])
 
     return run
@@ -469,41 +490,30 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, cell: int = CEL
     one = rows.mapInArrow(_read, _KEPT)
     if has_kept:
         one = one.join(bounded(kept), ["kind", "id"], "left").filter("keep IS NULL OR keep = class").drop("keep")
+    ids = F.lit(None).cast("array<string>").alias("ids")
     if has_twins:
-        one = one.join(bounded(small.select("kind", "class", "first")), ["kind", "class"], "left").filter("first IS NULL OR first = id")
+        one = one.join(bounded(small), ["kind", "class"], "left").filter("first IS NULL OR first = id")
+        ids = F.col("ids")
     spark = vectors.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * math.ceil(sum(sizes.values()) / cell))
-    sent = one.select("kind", "id", "vec").mapInArrow(_visits(cells), _SENT)
+    sent = one.select("kind", "id", ids, "vec").mapInArrow(_visits(cells), _SENT)
     near = sent.repartition(parts, "cell").mapInArrow(_searched(k, least), _NEAR)
     if has_twins:
         near = near.unionByName(small.select("kind", F.col("first").alias("id"), F.transform("ids", lambda i: F.struct(F.lit(-1_000_000).alias("d"), i.alias("other"))).alias("c")))
-    # A row's lists, at most one a cell it visited, merged.
-    cut = lambda c, n: F.slice(F.array_sort(F.array_distinct(F.filter(c, lambda e: e["other"] != F.col("id")))), 1, n)
-    merged = near.groupBy("kind", "id").agg(F.flatten(F.collect_list("c")).alias("c"))
-    if not has_twins:
-        mine = merged.select("kind", "id", cut("c", k).alias("c"))
-    else:
-        mine = _expanded(merged, small, twins, k)
+    # A row's lists, at most one a cell it visited, merged; one more than needed, since its own id may be among them.
+    merged = near.groupBy("kind", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))), 1, k + 1).alias("c"))
+    if has_twins:
+        # Members of a class, however many, meet the list of its smallest id in SALTS parts.
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        members = twins.join(bounded(small.select("kind", "class", "first")), ["kind", "class"]).select("kind", F.col("first").alias("id"), F.col("id").alias("member"), salt.alias("salt"))
+        several = bounded(small.select("kind", F.col("first").alias("id"), F.lit(True).alias("several")))
+        salts = F.when(F.col("several"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+        spread = merged.join(several, ["kind", "id"], "left").select("kind", "id", "c", "several", F.explode(salts).alias("salt"))
+        merged = spread.join(bounded(members), ["kind", "id", "salt"], "left").filter("several IS NULL OR member IS NOT NULL").select("kind", F.coalesce("member", "id").alias("id"), "c")
+    mine = merged.select("kind", "id", F.slice(F.filter("c", lambda e: e["other"] != F.col("id")), 1, k).alias("c"))
     return mine.select("kind", "id", F.posexplode("c").alias("p", "e")).select("kind", "id", F.col("e.other").alias("other"), (F.col("e.d") / -1e6).alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 
-def _expanded(merged: DataFrame, small: DataFrame, twins: DataFrame, k: int) -> DataFrame:
-    """The merged lists (kind, id, c) of classes' smallest ids as those of all ids: candidates stand for their class, and members get the list of theirs."""
-    best = merged.select("kind", "id", F.slice(F.array_sort(F.array_distinct("c")), 1, 2 * k + 2).alias("c"))
-    flat = best.select("kind", "id", F.explode("c").alias("e")).select("kind", "id", F.col("e.d").alias("d"), F.col("e.other").alias("first"))
-    flat = flat.join(bounded(small.select("kind", "first", "ids")), ["kind", "first"], "left")
-    each = F.transform(F.coalesce("ids", F.array("first")), lambda i: F.struct(F.col("d"), i.alias("other")))
-    grown = flat.select("kind", "id", each.alias("c")).groupBy("kind", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))), 1, k + 1).alias("c"))
-    named = grown.join(bounded(small.select("kind", F.col("first").alias("id"), F.lit(True).alias("several"))), ["kind", "id"], "left")
-    mine = lambda c: F.slice(F.filter(c, lambda e: e["other"] != F.col("id")), 1, k)
-    single = named.filter("several IS NULL").select("kind", "id", mine("c").alias("c"))
-    # Members of a class, however many, meet its one list in SALTS parts.
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    members = twins.join(bounded(small.select("kind", "class", "first")), ["kind", "class"]).select("kind", "first", "id", salt.alias("salt"))
-    lists = named.filter("several").select("kind", F.col("id").alias("first"), "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return single.unionByName(members.join(lists, ["kind", "first", "salt"]).select("kind", "id", mine("c").alias("c")))
-
-
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, cell: int = CELL, recall: float = RECALL) -> DataFrame:
     """Distinct (kind, id_a, id_b), id_a < id_b, where either is among the other's ``k`` most similar at ``least`` cosine."""
     near = nearest(vectors, k, least, cell, recall)

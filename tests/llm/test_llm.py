@@ -113,6 +113,72 @@ def test_neighbours_recall_and_classes(spark):
     assert neighbours.similar_pairs(df.limit(0)).count() == 0
 
 
+def _exact(rows, k=5, least=0.85):
+    ids = sorted(i for i, _ in rows)
+    by = dict(rows)
+    m = np.stack([np.array(by[i]) / np.linalg.norm(by[i]) for i in ids])
+    s = np.round(m @ m.T, 6)
+    np.fill_diagonal(s, -1)
+    want = set()
+    for a in range(len(ids)):
+        c = np.flatnonzero(s[a] >= least)
+        want |= {(ids[min(a, b)], ids[max(a, b)]) for b in c[np.lexsort((c, -s[a][c]))][:k]}
+    return want
+
+
+@pytest.mark.parametrize("n", [2000, 20000])
+def test_neighbours_keep_recall_in_many_cells(spark, n):
+    """Pairs at cosines about 0.85 to 0.9, in cells of a few hundred vectors, at two sizes."""
+    rng = np.random.default_rng(n)
+    centre = rng.normal(size=(n // 2, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    g = rng.normal(size=centre.shape)
+    g -= (g * centre).sum(axis=1, keepdims=True) * centre
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    cos = rng.uniform(0.85, 0.9, size=(n // 2, 1))
+    x = np.concatenate([centre, cos * centre + np.sqrt(1 - cos**2) * g])
+    rows = [(f"v{i:05d}", [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, cell=300).collect()}
+    want = {(f"v{i:05d}", f"v{i + n // 2:05d}") for i in range(n // 2)}
+    assert neighbours.projections(n, 300) == (3 if n == 2000 else 7)
+    assert len(got & want) / len(want) >= 0.95
+
+
+def test_neighbours_of_a_crowd(spark):
+    """A third of all vectors crowd around one direction: their cell is hashed again by its own spread, and no near pair is lost."""
+    rng = np.random.default_rng(4)
+    crowd = np.eye(64)[0] + 0.02 * rng.normal(size=(1500, 64))
+    rest = rng.normal(size=(3000, 64))
+    rows = [(f"v{i:05d}", [float(a) for a in v]) for i, v in enumerate(np.concatenate([crowd, rest]))]
+    rows += [(f"w{i}", rows[0][1]) for i in range(200)]  # a large class in the crowd
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    want = _exact(rows)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, cell=100).collect()}
+    assert len(got & want) / len(want) >= 0.9 and len(got - want) <= 0.1 * len(want)
+    assert {p for p in want if p[0][0] == p[1][0] == "w"} <= got
+
+
+def test_vectors_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.round(rng.normal(size=(3, 64)), 4), rng.normal(size=(2, 64)).astype(np.float32).astype(float), rng.normal(size=(2, 64)), [[1e300] * 64], [[0.0] * 63 + [5e-324]]])
+    got = neighbours.packed(x)
+    assert [len(g) for g in got] == [129] * 3 + [257] * 2 + [513] * 4 or [len(g) for g in got][:7] == [129] * 3 + [257] * 2 + [513] * 2
+    safe = np.abs(x).max(axis=1, keepdims=True)
+    assert np.allclose(neighbours.unpacked(got), x / safe / np.linalg.norm(x / safe, axis=1, keepdims=True), atol=1e-15)
+    assert neighbours.packed(np.array([[-0.0] * 63 + [1.0]])) == neighbours.packed(np.array([[0.0] * 63 + [1.0]]))
+
+
+def test_neighbours_with_changing_ids(spark):
+    """An id with two vectors counts once; the other vector takes no one's place. Kinds are searched apart."""
+    e = np.eye(64)
+    v = lambda *w: [float(a) for a in sum(c * e[i] for i, c in w)]
+    rows = [("a", "x", v((0, 1))), ("a", "y", v((0, 1), (1, 0.1))), ("a", "y", v((5, 1))), ("b", "x", v((0, 1))), ("a", "z", v((0, 1)))]
+    df = spark.createDataFrame(rows, "kind string, id string, embedding array<double>")
+    got = {(r.kind, r.id_a, r.id_b) for r in neighbours.similar_pairs(df).collect()}
+    assert got in ({("a", "x", "z")}, {("a", "x", "z"), ("a", "x", "y"), ("a", "y", "z")})
+
+
 def test_perturbation_order():
     p = neighbours.perturbations(4, 6)
     assert p[0] == (0,) and len(set(p)) == 6
