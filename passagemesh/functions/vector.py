@@ -18,9 +18,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    """The vector at unit length; a zero vector stays zero. The norm is bound once, not evaluated again for each number."""
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))[0]
 
 
 def usable(a: Column, dims: int = 64) -> Column:

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from passagemesh.functions import text as T
 
 
-def distinct_articles(articles: DataFrame) -> DataFrame:
-    """One row a url: of repeated rows one whose values are largest. Null urls are left out."""
-    cols = [c for c in articles.columns if c != "url"]
-    one = articles.filter("url IS NOT NULL").groupBy("url").agg(F.max(F.struct(*cols)).alias("a"))
-    return one.select("url", *[F.col(f"a.{c}").alias(c) for c in cols])
-
-
 def cleaned(articles: DataFrame, least: int = 0, most: int = 5_000_000) -> DataFrame:
     """(url, cleaned) of articles whose raw_text has ``least`` to ``most`` characters."""
     return articles.filter(F.length("raw_text").between(least, most)).select("url", T.clean_text(F.col("raw_text")).alias("cleaned"))
@@ -66,11 +59,13 @@ def windows(articles: DataFrame, size: int = 3, overlap: int = 2) -> DataFrame:
     step = size - overlap
     a = articles.select("title", "sentences", F.size("sentences").alias("n")).filter(f"sentences IS NOT NULL AND n >= {size}")
     last = F.ceil((F.col("n") - size) / F.lit(step)).cast("int") * step
-    w = a.select("title", "sentences", "n", F.posexplode(F.sequence(F.lit(0), last, F.lit(step))).alias("window_position", "start_sentence_idx"))
+    # each window's text is cut out before the rows are multiplied, so that no row carries the whole list
+    texts = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("sentences", s + 1, F.lit(size)), " ").alias("text")))
+    w = a.select("title", "n", F.posexplode(texts).alias("window_position", "w")).select("title", "n", "window_position", F.col("w.start").alias("start_sentence_idx"), F.col("w.text").alias("text"))
     end = F.least(F.col("start_sentence_idx") + size, F.col("n"))
     return w.select(
         chunk_id(F.col("title"), F.col("start_sentence_idx"), end).alias("chunk_id"),
-        F.array_join(F.slice("sentences", F.col("start_sentence_idx") + 1, F.lit(size)), " ").alias("text"),
+        "text",
         F.col("title").alias("source_article"),
         F.sequence(F.col("start_sentence_idx"), end - 1).alias("source_sentences"),
         "window_position",

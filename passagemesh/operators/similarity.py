@@ -16,32 +16,63 @@ BLOCK = 4000
 
 
 def nodes(embeddings: DataFrame, key: str, group: str = "source_article") -> DataFrame:
-    """(id, doc, vec) with usable vectors at unit length; an id that is repeated counts once."""
+    """(id, doc, raw, vec) with usable vectors, as they are and at unit length; an id that is repeated counts once."""
     v = embeddings.filter(F.col(key).isNotNull() & V.usable(F.col("embedding")))
     one = v.groupBy(F.col(key).alias("id")).agg(F.min(F.struct(F.col(group).alias("doc"), F.col("embedding").cast("array<double>").alias("e"))).alias("v"))
-    return one.select("id", F.col("v.doc").alias("doc"), V.unit(F.col("v.e")).alias("vec"))
-
-
-def _product(k: int, least: float, other_doc: bool):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"src": pa.array([], pa.string()), "dst": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        a, b = (np.stack(t.column("vec").to_numpy()) for t in (left, right))
-        sims = np.round(a @ b.T, V.DECIMALS)
-        ids_a, ids_b = (np.asarray(t.column("id").to_pylist(), dtype=object) for t in (left, right))
-        order = np.argsort(ids_b)
-        sims, ids_b = sims[:, order], ids_b[order]
-        sims[ids_a[:, None] == ids_b[None, :]] = -2
-        if other_doc:
-            da, db = (np.asarray(t.column("doc").to_pylist(), dtype=object) for t in (left, right))
-            sims[da[:, None] == db[order][None, :]] = -2
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # equal ones by smaller id
-        rows = np.repeat(np.arange(len(ids_a)), top.shape[1])
-        cols = top.ravel()
-        s = sims[rows, cols]
-        ok = s >= least
-        return pa.table({"src": pa.array(ids_a[rows[ok]], pa.string()), "dst": pa.array(ids_b[cols[ok]], pa.string()), "sim": pa.array(s[ok])})
+    return one.select("id", F.col("v.doc").alias("doc"), F.col("v.e").alias("raw"), V.unit(F.col("v.e")).alias("vec"))
+
+
+def _best(k: int, least: float, other_doc: bool, left: list[pa.RecordBatch], right: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    if not left or not right:
+        return None
+    a, b = (pa.Table.from_batches(t).combine_chunks() for t in (left, right))
+    x, y = (t.column("vec").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (a, b))
+    ids_a, ids_b = (np.asarray(t.column("id").to_pylist(), dtype=object) for t in (a, b))
+    order = np.argsort(ids_b)  # equal ones by smaller id
+    sims = np.round(x @ y[order].T, V.DECIMALS)
+    place = {i: p for p, i in enumerate(ids_b[order])}
+    own = np.array([place.get(i, -1) for i in ids_a])
+    sims[np.flatnonzero(own >= 0), own[own >= 0]] = -2
+    if other_doc:
+        da, db = (np.asarray(t.column("doc").to_pylist(), dtype=object) for t in (a, b))
+        names = {d: n for n, d in enumerate(sorted({*da, *db} - {None}))}
+        sims[np.array([names.get(d, -1) for d in da])[:, None] == np.array([names.get(d, -2) for d in db[order]])[None, :]] = -2
+    if sims.shape[1] > 4 * k:  # what the k-th best reaches, with all that equal it
+        floor = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+    else:
+        floor = np.full(len(sims), least)
+    rows, cols = np.nonzero(sims >= floor[:, None])
+    s = sims[rows, cols]
+    by = np.lexsort((cols, -s, rows))
+    rows, cols, s = rows[by], cols[by], s[by]
+    ok = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return pa.RecordBatch.from_arrays([pa.array(ids_a[rows[ok]], pa.string()), pa.array(ids_b[order][cols[ok]], pa.string()), pa.array(s[ok])], ["src", "dst", "sim"])
+
+
+def _products(k: int, least: float, other_doc: bool):
+    """A partition's groups (g, i, j), sorted, each one matrix product of its left and right rows. One group is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, right = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, i, j = (b.column(n).to_pylist() for n in ("g", "i", "j"))
+            keys = list(zip(g, i, j))
+            cuts = [0, *(n for n in range(1, len(keys)) if keys[n] != keys[n - 1]), len(keys)]
+            role = b.column("role").to_numpy()
+            for lo, hi in zip(cuts, cuts[1:]):
+                if keys[lo] != at:
+                    if (out := _best(k, least, other_doc, left, right)) is not None:
+                        yield out
+                    at, left, right = keys[lo], [], []
+                part, r = b.slice(lo, hi - lo).select(["id", "doc", "vec"]), role[lo:hi]
+                for side, sign in ((left, 1), (right, -1)):
+                    mine = np.flatnonzero(r * sign >= 0)  # 1 left, -1 right, 0 both
+                    if len(mine):
+                        side.append(part.take(pa.array(mine)))
+        if (out := _best(k, least, other_doc, left, right)) is not None:
+            yield out
 
     return run
 
@@ -51,21 +82,31 @@ def top_similar(left: DataFrame, right: DataFrame, k: int, least: float, same_do
 
     With ``same_doc`` candidates are of the row's own document, else of the others. Rows fall into blocks (within a document, if
     only it counts), and every pair of blocks that can hold candidates is one matrix product that emits its rows' best ``k``:
-    no group meets in one task, and never all pairs are emitted. A row without candidates has no rows; ids are never their own.
+    a document of one block is sent once, no group meets in one task, and never all pairs are emitted. A row without candidates has no rows; ids
+    are never their own.
     """
+    alone = same_doc and left is right
     right = right.toDF(*right.columns)  # own attributes, where both sides are one table
     if same_doc:
         sizes = right.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-        left, right = left.join(sizes, "doc"), right.join(sizes.toDF("doc", "nb"), "doc")
+        left = left.join(sizes.select("doc", F.col("nb").alias("nl"), F.col("nb").alias("nr")), "doc")
+        right = right.join(sizes.toDF("doc", "nb").select("doc", F.col("nb").alias("nl"), F.col("nb").alias("nr")), "doc")
+        group = F.col("doc")
     else:
-        n = max(1, -(-right.count() // BLOCK))
-        left, right = left.withColumn("nb", F.lit(n)), right.withColumn("nb", F.lit(n))
-    group = F.col("doc") if same_doc else F.lit("")
-    own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    li = left.select(group.alias("g"), own.alias("i"), every.alias("j"), "id", "doc", "vec")
-    rj = right.toDF(*right.columns).select(group.alias("g"), every.alias("i"), own.alias("j"), "id", "doc", "vec")
-    met = li.groupBy("g", "i", "j").cogroup(rj.groupBy("g", "i", "j")).applyInArrow(_product(k, least, not same_doc), "src string, dst string, sim double")
+        nl, nr = (max(1, -(-d.count() // BLOCK)) for d in (left, right))
+        left, right = (d.withColumn("nl", F.lit(nl)).withColumn("nr", F.lit(nr)) for d in (left, right))
+        group = F.lit("")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["id", "doc", "vec"]
+    whole = None
+    if alone:  # documents of one block: each row once, for both sides
+        whole = left.filter("nr = 1").select(group.alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("role"), *cols)
+        left, right = left.filter("nr > 1"), right.filter("nr > 1")
+    li = left.select(group.alias("g"), own("nl").alias("i"), every("nr").alias("j"), F.lit(1).alias("role"), *cols)
+    rj = right.select(group.alias("g"), every("nl").alias("i"), own("nr").alias("j"), F.lit(-1).alias("role"), *cols)
+    rows = li.unionByName(rj) if whole is None else whole.unionByName(li).unionByName(rj)
+    met = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_products(k, least, not same_doc), "src string, dst string, sim double")
     w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -81,7 +122,9 @@ def sparse_edges(edges: DataFrame, intra: int = 15, inter: int = 5, least_intra:
     w = Window.partitionBy("src", "type").orderBy(F.col("sim").desc(), "dst")
     inside = F.col("type") == "intra_document"
     kept = edges.filter(F.col("sim") >= F.when(inside, least_intra).otherwise(least_inter))
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.when(inside, intra).otherwise(inter))
+    ranked = kept.withColumn("rank", F.row_number().over(w))
+    # the literal limit lets each task keep only what can rank, so that a hot source is not shuffled whole
+    return ranked.filter(F.col("rank") <= max(intra, inter)).filter(F.col("rank") <= F.when(inside, intra).otherwise(inter))
 
 
 def edge_statistics(edges: DataFrame) -> DataFrame:

@@ -5,22 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Themes and the substrings that call for them, in order of preference. The SQL of f5 still has these; the query takes THEMES.
-KEYWORDS = {
-    "Artificial Intelligence": ("artificial intelligence", "ai", "machine learning"),
-    "Technology": ("technology", "software", "computer"),
-    "Science": ("science", "research", "experiment"),
-    "Mathematics": ("mathematics", "algorithm", "equation"),
-    "History": ("history", "ancient", "medieval"),
-    "Law": ("court", "statute", "legal"),
-    "Medicine": ("medical", "clinical", "patient"),
-    "Economics": ("market", "finance", "currency"),
-    "Music": ("music", "opera", "symphony"),
-    "Sport": ("sport", "league", "stadium"),
-}
-
+from passagemesh.functions import text as T
 
-# The inventory's themes (F5) and their substrings, in its order.
+# Themes and the substrings that call for them, in order.
 THEMES = {
     "Artificial Intelligence": ("artificial intelligence", "ai", "machine intelligence"),
     "Machine Learning": ("machine learning", "ml", "learning algorithms"),
@@ -37,29 +24,19 @@ THEMES = {
     "Research": ("research", "study", "studies", "investigation"),
     "Education": ("education", "learning", "teaching", "academic"),
 }
-#: A capitalised phrase (B21): between characters that are no word's, in any script.
-PHRASE = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:[\s\x1c-\x1f\x{85}\p{Z}]+[A-Z][a-z]+)*(?![\p{L}\p{N}_])"
-
 
 def fallback_themes(title: Column, summary: Column, most: int = 5) -> Column:
     """Up to ``most`` themes one of whose substrings is in title and summary, in table order; where there is none, the summary's first capitalised phrases."""
     low = F.lower(F.concat_ws(" ", title, summary))
     hits = F.array_compact(F.array(*[F.when(F.greatest(*[low.contains(k) for k in keys]), F.lit(name)) for name, keys in THEMES.items()]))
-    phrases = F.array_distinct(F.regexp_extract_all(F.coalesce(summary, F.lit("")), F.lit(PHRASE), F.lit(0)))
-    return F.slice(F.when(F.size(hits) > 0, hits).otherwise(phrases), 1, most)
-
-
-def keyword_themes(text: Column, most: int = 5) -> Column:
-    """Up to ``most`` themes one of whose keywords is a substring of the lower-case text, in table order."""
-    low = F.lower(text)
-    hits = [F.when(F.coalesce(F.greatest(*[low.contains(k).cast("int") for k in keys]), F.lit(0)) > 0, F.lit(name)) for name, keys in KEYWORDS.items()]
-    return F.slice(F.array_compact(F.array(*hits)), 1, most)
+    return F.when(F.size(hits) > 0, F.slice(hits, 1, most)).otherwise(T.capitalised(summary, most))
 
 
 def parse_themes(reply: Column, most: int = 5) -> Column:
-    """Themes of a model's reply: its first bracketed list read as JSON, blanks dropped; anything else gives an empty list."""
-    listed = F.from_json(F.regexp_extract(reply, "(?s)\\[.*?\\]", 0), "array<string>")
-    kept = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != "")
+    """Themes of a model's reply: its first bracketed list read as JSON, or the list ``themes`` of an object, without blanks and quotes around them; anything else gives an empty list."""
+    named = F.from_json(F.regexp_extract(reply, "(?s)\\{.*\\}", 0), "themes array<string>")["themes"]
+    listed = F.coalesce(F.from_json(F.regexp_extract(reply, "(?s)\\[.*?\\]", 0), "array<string>"), named)
+    kept = F.filter(F.transform(listed, lambda x: F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", "")), lambda x: F.trim(x) != "")
     return F.coalesce(F.slice(kept, 1, most), F.array().cast("array<string>"))
 
 

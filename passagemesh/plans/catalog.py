@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemesh.functions import text as T
 from passagemesh.operators import corpus, evaluate, graph, paths, rerank, similarity, themes, traversal
+from passagemesh.plans import walk_sql
 from passagemesh.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,13 +41,17 @@ def _clean_sql() -> str:
         x = sub(f"(?is)==+{WS}*{t}{WS}*==+.*")
     for _ in range(2):
         x = sub(f"={{2,}}{WS}*[^=\\n]+?{WS}*={{2,}}")
+    blank = "[\\t-\\r\\x{1c}-\\x{1f}\\x{85}\\p{Z}]"
+    x = sub(f"\\n{blank}*=+[^=\\n]*=+{blank}*\\n", "\n")
+    x = sub(f"(?m)^=+[^=\\n]*=+{blank}*")
+    x = sub(f"(?m){blank}*=+[^=\\n]*=+$")
     x = sub("\\[[0-9 ,\\-]+\\]")
     for n in T.NOTES:
         x = sub(f"(?i)\\[{n}\\]")
     x = sub("(?s)\\{\\|.*?\\|\\}")
     for a, b in (("–", "-"), ("—", "-"), ("…", "..."), ('\\"', '"'), ("\\''", "''"), ("\\n", " "), ("\\t", " ")):
         x = f"replace({x}, '{a}', '{b}')"
-    return f"SELECT DISTINCT url, trim({sub(WS + '+', ' ')}) AS cleaned FROM articles WHERE length(raw_text) BETWEEN 0 AND 5000000"
+    return f"SELECT DISTINCT url, trim({sub(blank + '+', ' ')}) AS cleaned FROM articles WHERE length(raw_text) BETWEEN 0 AND 5000000"
 
 
 @query(_clean_sql())
@@ -130,7 +135,7 @@ def e11_sequential_neighbours(spark, sf):
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 _NODES = f"""valid AS (SELECT chunk_id AS id, min(source_article) AS doc, first(embedding) AS e FROM chunk_embeddings WHERE chunk_id IS NOT NULL AND {_USABLE} GROUP BY 1),
-nodes AS (SELECT id, coalesce(doc, '') AS doc, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS vec FROM valid)"""
+nodes AS (SELECT id, coalesce(doc, '') AS doc, e AS raw, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS vec FROM valid)"""
 _EDGES = """clean AS (SELECT source_chunk_id AS src, target_chunk_id AS dst, max(similarity_score) AS sim, min(connection_type) AS type FROM connections
  WHERE source_chunk_id <> target_chunk_id AND similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY 1, 2),
 edges AS (SELECT *, row_number() OVER (PARTITION BY src, type ORDER BY sim DESC, dst) AS rank FROM clean WHERE sim >= CASE WHEN type = 'intra_document' THEN 0.4 ELSE 0.3 END
@@ -189,9 +194,31 @@ def e6_coordinates(spark, sf):
 # --- themes -------------------------------------------------------------------------------------------------------------
 
 
+# Written out again, so that the query's table is checked.
+_THEMES = """Artificial Intelligence: artificial intelligence, ai, machine intelligence
+Machine Learning: machine learning, ml, learning algorithms
+Neural Networks: neural networks, neural nets, artificial neural
+Deep Learning: deep learning, deep neural, convolutional
+Natural Language Processing: natural language, nlp, text processing
+Computer Vision: computer vision, image recognition, visual
+Data Science: data science, data analysis, big data
+Robotics: robotics, robots, autonomous
+Psychology: psychology, psychological, behavior, cognitive
+Neuroscience: neuroscience, brain, neural, cognitive science
+History: history, historical, past, century
+Technology: technology, technological, computing, computer
+Research: research, study, studies, investigation
+Education: education, learning, teaching, academic"""
+
+
 def _keyword_sql() -> str:
-    cases = ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{k}')" for k in keys) + f" THEN '{name}' END" for name, keys in themes.KEYWORDS.items())
-    return f"WITH d AS (SELECT DISTINCT doc_id, lower(concat_ws(' ', title, doc_summary)) AS t FROM document_nodes) SELECT doc_id, list_filter([{cases}], lambda x: x IS NOT NULL)[1:5] AS themes FROM d"
+    lines = [line.split(": ") for line in _THEMES.split("\n")]
+    cases = ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{k}')" for k in keys.split(", ")) + f" THEN '{name}' END" for name, keys in lines)
+    marked = "regexp_replace(coalesce(doc_summary, ''), '([\\p{L}\\p{N}_]+)', '\x01\\1\x02', 'g')"  # words between marks
+    phrases = f"list_transform(regexp_extract_all({marked}, '\x01[A-Z][a-z]+\x02(?:[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+\x01[A-Z][a-z]+\x02)*'), lambda x: replace(replace(x, '\x01', ''), '\x02', ''))"
+    return f"""WITH d AS (SELECT DISTINCT doc_id, title, doc_summary, lower(concat_ws(' ', title, doc_summary)) AS t FROM document_nodes),
+h AS (SELECT doc_id, doc_summary, list_filter([{cases}], lambda x: x IS NOT NULL) AS hits FROM d)
+SELECT doc_id, CASE WHEN len(hits) > 0 THEN hits[1:5] ELSE {{phrases}} END AS themes FROM h""".replace("{phrases}", f"(SELECT coalesce(list(p ORDER BY i), []) FROM (SELECT p, min(i) AS i FROM (SELECT unnest(ph) AS p, unnest(range(len(ph))) AS i FROM (SELECT {phrases} AS ph)) GROUP BY p ORDER BY i LIMIT 5))")
 
 
 @query(_keyword_sql())
@@ -275,84 +302,65 @@ def g12_quality_statistics(spark, sf):
 # --- retrieval ----------------------------------------------------------------------------------------------------------
 
 _ANCHOR = """queries AS (SELECT * FROM nodes WHERE {q}), sims AS (SELECT q.id AS query_id, n.id AS id, n.doc AS doc, round(list_dot_product(q.vec, n.vec), 9) AS sim FROM queries q CROSS JOIN nodes n)""".format(q=_IS_QUERY)
-_SENTS = """held AS (SELECT chunk_id AS id, min({'a': source_article, 's': source_sentences}) AS h FROM chunks WHERE chunk_id IS NOT NULL AND source_article IS NOT NULL AND source_sentences IS NOT NULL GROUP BY 1),
-sents AS (SELECT id, list_transform(h.s, lambda i: h.a || '#' || i) AS keys FROM held)"""
+_GRAPH = f"{_NODES}, {_EDGES}, {_ANCHOR}, {walk_sql.sentences(_USABLE)}"
 
 
 def _graph(spark, sf):
+    """The stated queries and the graph."""
     n = _nodes(spark, sf)
-    c = table(spark, sf, "chunks").filter("chunk_id IS NOT NULL AND source_article IS NOT NULL AND source_sentences IS NOT NULL")
-    held = c.groupBy(F.col("chunk_id").alias("id")).agg(F.min(F.struct(F.col("source_article").alias("a"), F.col("source_sentences").alias("s"))).alias("h"))
-    sents = held.select("id", F.transform("h.s", lambda i: F.concat(F.col("h.a"), F.lit("#"), i.cast("string"))).alias("keys"))
-    return n.filter(traversal.is_query(F.col("id"))).select("id", "vec"), n, _edges(spark, sf), sents
+    return n.filter(traversal.is_query(F.col("id"))).select("id", "raw", "vec"), traversal.graph(n, _edges(spark, sf), table(spark, sf, "sentence_embeddings"))
+
+
+_answers_of = lambda df: df.withColumn("confidence", F.transform("confidence", lambda x: F.round(x, 6)))
 
 
 @query(f"WITH {_NODES}, {_ANCHOR} SELECT query_id, id, round(sims.sim, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sims.sim DESC, id)::INTEGER AS rank FROM sims QUALIFY rank <= 3")
 def h2_anchors(spark, sf):
-    q, n, _, _ = _graph(spark, sf)
-    return _shown(traversal.anchors(q, n, 3))
-
-
-def _walk_sql(key: str, semantic: bool = False, q: str = "w.qv") -> str:
-    overlap = "AND NOT list_has_any(w.g2, coalesce(cs.keys, []))" if semantic else ""
-    stop = "(best IS NULL OR (len(path) > 1 AND -best.nk <= before))" if semantic else "(best IS NULL)"
-    return f"""WITH RECURSIVE {_NODES}, {_EDGES}, {_ANCHOR}, {_SENTS},
-start AS (SELECT query_id, min({{'ns': -sim, 'id': id}}).id AS cur FROM sims GROUP BY 1),
-walk AS (
-  SELECT s.query_id, q.vec AS qv, s.cur, [s.cur] AS path, []::VARCHAR[] AS gathered, 0.0::DOUBLE AS total, 0.0::DOUBLE AS before, false AS done, 0 AS hop FROM start s JOIN queries q ON q.id = s.query_id
-  UNION ALL
-  SELECT query_id, qv, CASE WHEN {stop} THEN cur ELSE best.dst END, CASE WHEN {stop} THEN path ELSE list_append(path, best.dst) END, g2, CASE WHEN {stop} THEN total ELSE total - best.nk END, coalesce(-best.nk, before), {stop}, hop + 1
-  FROM (
-    SELECT w.query_id, w.qv, w.cur, w.path, w.g2, w.total, w.before, w.hop, min({{'nk': -({key}), 'dst': e.dst}}) FILTER (e.dst IS NOT NULL) AS best
-    FROM (SELECT walk.*, list_concat(gathered, list_filter(coalesce(s.keys, []), lambda x: NOT list_contains(gathered, x))) AS g2 FROM walk LEFT JOIN sents s ON s.id = cur WHERE NOT done AND hop < 20) w
-    JOIN nodes h ON h.id = w.cur
-    LEFT JOIN (SELECT e.src, e.dst, c.vec FROM edges e JOIN nodes c ON c.id = e.dst) e ON e.src = w.cur AND len(w.g2) < 10 AND NOT list_contains(w.path, e.dst)
-    LEFT JOIN sents cs ON cs.id = e.dst
-    WHERE e.dst IS NULL OR true {overlap}
-    GROUP BY ALL))
-SELECT query_id, path, gathered[1:10] AS gathered, round(CASE WHEN len(path) > 1 THEN total / (len(path) - 1) ELSE 0 END, 6) AS score, (len(path) - 1)::INTEGER AS hops FROM walk WHERE done OR hop = 20"""
-
-
-_DOT = lambda a, b: f"list_dot_product({a}, {b})"
-_Q, _H, _C = "w.qv", "h.vec", "e.vec"
-
-
-@query(_walk_sql(f"round({_DOT(_Q, _C)}, 9)"))
+    n = _nodes(spark, sf)
+    return _shown(traversal.anchors(n.filter(traversal.is_query(F.col("id"))), n, 3))
+
+
+def _chosen(ids, n):
+    """A stand-in for a model's choice: the second candidate where the document has changed enough to have one, an end at eight sentences."""
+    return F.when(n >= 8, 0).when(F.size(ids) > 1, 2).otherwise(9)
+
+
+_CHOSEN = "CASE WHEN len(ext) >= 8 THEN 0 WHEN len(ids) > 1 THEN 2 ELSE 9 END"
+
+
+@query(walk_sql.basic(_GRAPH))
+def i1_basic_retrieval(spark, sf):
+    return _answers_of(traversal.basic(*_graph(spark, sf)))
+
+
+@query(walk_sql.walk(_GRAPH, "query_traversal"))
 def i2_query_traversal(spark, sf):
-    return traversal.walk("query_traversal", *_graph(spark, sf))
+    return _answers_of(traversal.walk("query_traversal", *_graph(spark, sf)))
 
 
-@query()
+@query(walk_sql.walk(_GRAPH, "ssg_traversal"))
 def i3_ssg_traversal(spark, sf):
-    return traversal.walk("ssg_traversal", *_graph(spark, sf))
+    return _answers_of(traversal.walk("ssg_traversal", *_graph(spark, sf)))
 
 
-@query(_walk_sql(f"-round(abs(({_DOT(_Q, _H)} + {_DOT(_Q, _C)} + {_DOT(_H, _C)}) / 3.0 - 1.0), 9)"))
+@query(walk_sql.walk(_GRAPH, "triangulation_average"))
 def i4_triangulation_average(spark, sf):
-    return traversal.walk("triangulation_average", *_graph(spark, sf))
-
-
-@query(_walk_sql(f"-round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(h.vec[i] + e.vec[i] - 2 * w.qv[i], 2)))) / 3.0, 9)"))
-def i6_triangulation_fulldim(spark, sf):
-    return traversal.walk("triangulation_geometric_fulldim", *_graph(spark, sf))
+    return _answers_of(traversal.walk("triangulation_average", *_graph(spark, sf)))
 
 
 @query()
 def i5_triangulation_3d(spark, sf):
-    q, n, e, s = _graph(spark, sf)
-    q3, n3 = traversal.reduced(q, n)
-    return traversal.walk("triangulation_geometric_3d", q3, n3, e, s)
+    return _answers_of(traversal.walk("triangulation_geometric_3d", *traversal.reduced(*_graph(spark, sf))))
 
 
-@query(_walk_sql(f"round({_DOT(_Q, _C)}, 9)"))
-def i7_guided_traversal(spark, sf):
-    return traversal.walk("llm_guided_traversal", *_graph(spark, sf))
+@query(walk_sql.walk(_GRAPH, "triangulation_geometric_fulldim"))
+def i6_triangulation_fulldim(spark, sf):
+    return _answers_of(traversal.walk("triangulation_geometric_fulldim", *_graph(spark, sf)))
 
 
-@query()
-def i1_basic_retrieval(spark, sf):
-    q, n, _, s = _graph(spark, sf)
-    return traversal.basic(q, n, s)
+@query(walk_sql.walk(_GRAPH, "llm_guided_traversal", _CHOSEN))
+def i7_guided_traversal(spark, sf):
+    return _answers_of(traversal.walk("llm_guided_traversal", *_graph(spark, sf), chooser=_chosen))
 
 
 # --- paths --------------------------------------------------------------------------------------------------------------
@@ -375,8 +383,8 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY path_id ORDER BY step) AS session FR
 SELECT path_id, session::BIGINT AS session, document, min(step)::INTEGER AS first_step, max(step)::INTEGER AS last_step, count(*) AS n FROM s GROUP BY 1, 2, 3"""
 )
 def p5r_reading_sessions(spark, sf):
-    q, n, _, _ = _graph(spark, sf)
-    a = traversal.anchors(q, n, 20).join(n.select("id", "doc"), "id")
+    n = _nodes(spark, sf)
+    a = traversal.anchors(n.filter(traversal.is_query(F.col("id"))), n, 20).join(n.select("id", "doc"), "id")
     idx = F.coalesce(F.expr("try_cast(nullif(regexp_extract(id, '_window_([0-9]+)_', 1), '') AS INT)"), F.lit(-1))
     return paths.sessions(a.select(F.col("query_id").alias("path_id"), F.col("rank").alias("step"), F.col("doc").alias("document"), idx.alias("idx")))
 

@@ -3,21 +3,13 @@ import pytest
 from passagemesh.plans import catalog
 from tests.oracle import duck_rows, spark_rows
 
-SLOW = {"i2_query_traversal", "i4_triangulation_average", "i6_triangulation_fulldim", "i7_guided_traversal"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, sf, name):
     cols, rows = spark_rows(catalog.QUERIES[name](spark, sf))
     assert rows == duck_rows(catalog.SQL[name], sf, cols)
 
 
-def test_walk_equals_sql(spark, sf):
-    name = "i4_triangulation_average"
-    cols, rows = spark_rows(catalog.QUERIES[name](spark, sf))
-    assert rows == duck_rows(catalog.SQL[name], sf, cols)
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -89,69 +89,111 @@ def test_clean_edges(spark):
 def test_themes(spark):
     parse = lambda s: one(spark, themes.parse_themes, s)
     assert parse('```json\n["a", " ", "b"]\n```') == ["a", "b"] and parse("none") == [] and parse(None) == [] and parse("[oops") == []
-    assert one(spark, themes.keyword_themes, "He said the court met") == ["Artificial Intelligence", "Law"]
-    assert one(spark, themes.keyword_themes, None) == []
-
-
-def walk_model(key, q, vec, edges, keys, limits, anchor):
-    cur, path, got, total = anchor, [anchor], [], 0.0
-    for _ in range(limits.hops):
-        got = got + [s for s in keys.get(cur, []) if s not in got]
-        if len(got) >= limits.sentences:
-            break
-        c = [(-round(key(q, vec[cur], vec[d]), 9), d) for d in edges.get(cur, []) if d not in path and d in vec]
-        if not c:
+    assert parse('{"themes": ["a", "b"]}') == ["a", "b"] and parse("[\"'q'\"]") == ["q"]
+
+
+def walk_model(algorithm, q, vec, edges, said, own, limits, anchor):
+    """One walk, step by step, over lists: vec chunk vectors, said a chunk's sentence texts, own sentence vectors."""
+    near = lambda a, b: round(float(a @ b), 9)
+    away = lambda a, b, c: round(float(np.linalg.norm(b + c - 2 * a)) / 3, 9)
+    src = {t: min(c for c in said if t in said[c]) for v in said.values() for t in v}
+    cur, path, ext, measures, last = anchor, [anchor], list(said.get(anchor, [])), [], 0.0
+    conf = lambda t: near(q, own[t])
+    hop = 0
+    while len(ext) < limits.sentences and hop < limits.hops:
+        hop += 1
+        if algorithm == "ssg_traversal":
+            c = [(-near(vec[cur], vec[d]), -near(q, vec[d]), i, d) for i, d in enumerate(edges.get(cur, [])) if not set(said.get(d, [])) & set(ext)]
+            if not c or hop > 1 and -min(c)[0] <= last:
+                break
+            last, cur = -min(c)[0], min(c)[3]
+            path.append(cur)
+            ext += [t for t in said.get(cur, []) if t not in ext]
+            continue
+        if hop > 1:
+            ext += [t for t in said.get(cur, []) if t not in ext]
+        if algorithm == "triangulation_average":
+            mean = lambda a, b, c: round((a + b + c) / 3, 9)
+            m = {d: mean(near(q, vec[cur]), near(q, vec[d]), near(vec[cur], vec[d])) for d in edges.get(cur, [])}
+            ms = {t: mean(near(q, vec[cur]), conf(t), conf(t)) for t in said.get(cur, [])}
+            key = lambda x: round(abs(x - 1), 9)
+        elif algorithm == "triangulation_geometric_fulldim":
+            m = {d: away(q, vec[cur], vec[d]) for d in edges.get(cur, [])}
+            ms = {t: away(q, vec[cur], own[t]) for t in said.get(cur, [])}
+            key = lambda x: x
+        else:
+            m, ms, key = {d: near(q, vec[d]) for d in edges.get(cur, [])}, {}, lambda x: -x
+        c = sorted((key(m[d]), -near(q, vec[d]), i, d) for i, d in enumerate(edges.get(cur, [])))
+        s = sorted((key(v), -conf(t)) for t, v in ms.items())
+        free = [e[3] for e in c if e[3] not in path]
+        if algorithm.startswith("tri") and (c or s):
+            measures.append(ms[min(said[cur], key=lambda t: (key(ms[t]), -conf(t)))] if s and (not c or s[0] < c[0][:2]) else m[c[0][3]])
+        if len(ext) >= 8 and c:
+            if algorithm == "query_traversal" and max(0, *map(conf, ext)) > max(m.values()):
+                break
+            if algorithm == "triangulation_average" and max(mean(near(q, vec[cur]), conf(t), near(vec[cur], vec[src[t]])) for t in ext) > m[c[0][3]]:
+                break
+        if s and algorithm.startswith("tri") and (not c or s[0] < c[0][:2]) or not free:
             break
-        k, cur = min(c)
+        cur = free[0]
         path.append(cur)
-        total -= k
-    return path, got[: limits.sentences]
+    ext = ext[: limits.sentences]
+    score = sum(map(conf, ext)) / len(ext) if ext else 0.0
+    if algorithm.startswith("tri"):
+        score = sum(measures) / len(measures) if measures else 0.0
+    return path, ext, round(score, 6)
 
 
-MODEL = {
-    "query_traversal": lambda q, h, c: q @ c,
-    "triangulation_average": lambda q, h, c: -round(abs((q @ h + q @ c + h @ c) / 3 - 1), 9),
-    "triangulation_geometric_fulldim": lambda q, h, c: -round(float(np.linalg.norm(h + c - 2 * q)) / 3, 9),
-}
+def toy(spark, n=40, held=True, seed=3):
+    df, rows = vectors(spark, n, 4, seed=seed)
+    rng = np.random.default_rng(seed + 2)
+    ids = [r[0] for r in rows]
+    edges = {i: sorted(set(rng.choice(ids, 4)) - {i}) for i in ids[: n - 4]}  # the last ones are dead ends
+    said = {i: [f"s{int(i[1:]) // 2}", f"s{int(i[1:]) // 2 + 1}"] for i in ids[::1 if held else n]}
+    x = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows}
+    own = {t: 0.5 * x[next(i for i in ids if t in said.get(i, []))] + 0.5 * rng.normal(size=64) / 8 for v in said.values() for t in v}
+    own = {t: v / np.linalg.norm(v) for t, v in own.items()}
+    nodes = similarity.nodes(spark.createDataFrame([(i, "d", [float(a) for a in v]) for i, v in x.items()], "id string, source_article string, embedding array<double>"), "id")
+    e = spark.createDataFrame([(a, b, "intra_document", k) for a, v in edges.items() for k, b in enumerate(v)], "src string, dst string, type string, rank int")
+    s = spark.createDataFrame([(t, t, int(t[1:]), [float(a) for a in v], [c for c in said if t in said[c]]) for t, v in own.items()], "sentence_id string, sentence_text string, sentence_index int, embedding array<double>, containing_chunks array<string>")
+    return ids, x, edges, said, own, nodes, traversal.graph(nodes, e, s)
 
 
-@pytest.mark.parametrize("algorithm", sorted(MODEL))
+@pytest.mark.parametrize("algorithm", ["query_traversal", "ssg_traversal", "triangulation_average", "triangulation_geometric_fulldim"])
 def test_walks_equal_model(spark, algorithm):
-    df, rows = vectors(spark, 40, 4, seed=3)
-    rng = np.random.default_rng(5)
-    ids = [r[0] for r in rows]
-    edges = {i: sorted(set(rng.choice(ids, 4)) - {i}) for i in ids[:36]}  # the last ones are dead ends
-    keys = {i: [f"s{int(i[1:]) // 2}", f"s{int(i[1:]) // 2 + 1}"] for i in ids}
-    n = similarity.nodes(df, "id")
-    q = n.filter(F.col("id").isin(*ids[:3]))
-    e = spark.createDataFrame([(a, b) for a, v in edges.items() for b in v], "src string, dst string")
-    s = spark.createDataFrame(list(keys.items()), "id string, keys array<string>")
-    limits = traversal.Limits(6, 8)
-    got = {r.query_id: (r.path, r.gathered) for r in traversal.walk(algorithm, q.select("id", "vec"), n, e, s, limits).collect()}
-    x = {r[0]: np.array(r[2]) / np.linalg.norm(r[2]) for r in rows}
-    for i in ids[:3]:
+    ids, x, edges, said, own, nodes, g = toy(spark)
+    limits = traversal.Limits(10, 8)
+    q = nodes.filter(F.col("id").isin(*ids[:4])).select("id", "raw", "vec")
+    got = {r.query_id: (r.path, r.gathered, r.score) for r in traversal.walk(algorithm, q, g, limits).collect()}
+    for i in ids[:4]:
         anchor = min((-round(float(x[i] @ v), 9), k) for k, v in x.items())[1]
-        assert got[i] == walk_model(MODEL[algorithm], x[i], x, edges, keys, limits, anchor)
+        want = walk_model(algorithm, x[i], x, edges, said, own, limits, anchor)
+        assert got[i][:2] == want[:2] and abs(got[i][2] - want[2]) < 2e-6
 
 
-def test_walk_without_edges(spark):
+def test_walk_without_edges_or_sentences(spark):
     df, rows = vectors(spark, 5, 1)
     n = similarity.nodes(df, "id")
-    none = spark.createDataFrame([], "src string, dst string")
-    s = spark.createDataFrame([], "id string, keys array<string>")
-    r = traversal.walk("ssg_traversal", n.select("id", "vec").limit(1), n, none, s).collect()
-    assert len(r) == 1 and r[0].hops == 0 and r[0].gathered == []
+    e = spark.createDataFrame([], "src string, dst string, type string, rank int")
+    s = spark.createDataFrame([], "sentence_id string, sentence_text string, sentence_index int, embedding array<double>, containing_chunks array<string>")
+    g = traversal.graph(n, e, s)
+    q = n.select("id", "raw", "vec").limit(1)
+    for a in traversal.ALGORITHMS:
+        r = traversal.retrieve(a, q, g).collect()
+        assert len(r) == 1 and r[0].hops == 0 and r[0].gathered == [] and r[0].error is None and r[0].algorithm == a
+    assert [r.error for r in traversal.retrieve("query_traversal", q, traversal.Graph(n.limit(0), e.withColumn("ord", F.lit(0)), g.held)).collect()] == ["no anchor"]
+    with pytest.raises(ValueError):
+        traversal.retrieve("no_such", q, g)
 
 
-def test_chooser_can_stop(spark):
-    df, rows = vectors(spark, 6, 1)
-    n = similarity.nodes(df, "id")
-    ids = [r[0] for r in rows]
-    e = spark.createDataFrame([(a, b) for a in ids for b in ids if a != b], "src string, dst string")
-    s = spark.createDataFrame([(i, [i]) for i in ids], "id string, keys array<string>")
-    q = n.select("id", "vec").limit(2)
-    assert all(r.hops == 0 for r in traversal.walk("llm_guided_traversal", q, n, e, s, chooser=lambda c: F.lit(None).cast("string")).collect())
-    assert all(r.hops == 5 for r in traversal.walk("llm_guided_traversal", q, n, e, s).collect())
+def test_chooser(spark):
+    ids, x, edges, said, own, nodes, g = toy(spark)
+    q = nodes.filter(F.col("id").isin(*ids[:3])).select("id", "raw", "vec")
+    go = lambda f: traversal.walk("llm_guided_traversal", q, g, traversal.Limits(50, 4), f).collect()
+    assert all(r.hops == 0 for r in go(lambda c, n: F.lit(0)))
+    first, odd, second = ({r.query_id: r.path for r in go(lambda c, n, v=v: F.lit(v).cast("int"))} for v in (1, 99, 2))
+    assert first == odd == {r.query_id: r.path for r in go(lambda c, n: F.lit(None).cast("int"))} and first != second
+    assert max(len(p) for p in first.values()) > 2
 
 
 def test_path_rules(spark):
@@ -202,16 +244,20 @@ def test_vector_columns(spark):
 
 
 def test_basic_goes_on_past_copies(spark):
-    q = np.eye(64)[0]
+    q = [1.0] + [0.0] * 63
     near = [(f"c{i:02d}", [1.0] + [0.001 * i] + [0.0] * 62) for i in range(45)]  # copies of one window, nearest to the query
     far = [(f"f{i:02d}", [1.0] + [0.5 + 0.01 * i] + [0.0] * 62) for i in range(8)]
-    df = spark.createDataFrame([(i, "d", v) for i, v in near + far + [("q", [float(x) for x in q])]], "id string, source_article string, embedding array<double>")
+    df = spark.createDataFrame([(i, "d", v) for i, v in near + far + [("q", q)]], "id string, source_article string, embedding array<double>")
     n = similarity.nodes(df, "id")
-    s = spark.createDataFrame([(i, ["a", "b"]) for i, _ in near] + [(i, [f"{i}x", f"{i}y"]) for i, _ in far[1:]] + [(far[0][0], None)], "id string, keys array<string>")
-    r = traversal.basic(n.filter("id = 'q'").select("id", "vec"), n.filter("id <> 'q'"), s).collect()
+    said = {i: ["a", "b"] for i, _ in near} | {i: [f"{i}x", f"{i}y"] for i, _ in far[1:]}
+    texts = sorted({t for v in said.values() for t in v})
+    s = spark.createDataFrame([(t, t, k, None, [c for c in said if t in said[c]]) for k, t in enumerate(texts)], "sentence_id string, sentence_text string, sentence_index int, embedding array<double>, containing_chunks array<string>")
+    e = spark.createDataFrame([], "src string, dst string, type string, rank int")
+    nodes = n.filter("id <> 'q'")
+    r = traversal.basic(n.filter("id = 'q'"), traversal.graph(nodes, e, s)).collect()
     assert [x.path for x in r] == [["c00", "f01", "f02", "f03", "f04"]]
-    assert r[0].gathered == ["a", "b"] + [f"f{i:02d}{k}" for i in range(1, 5) for k in "xy"]
-    few = traversal.basic(n.filter("id = 'q'").select("id", "vec"), n.filter("id < 'f03'"), s).collect()  # every node seen
+    assert r[0].gathered == ["a", "b"] + [f"f{i:02d}{k}" for i in range(1, 5) for k in "xy"] and set(r[0].confidence) == {0.5} and r[0].sources[0] == "c00"
+    few = traversal.basic(n.filter("id = 'q'"), traversal.graph(n.filter("id < 'f03'"), e, s)).collect()  # every node seen
     assert [len(x.gathered) for x in few] == [6]
 
 
