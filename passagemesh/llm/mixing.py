@@ -9,7 +9,7 @@ two histograms of hash slices, summed over all documents, place to one part in 2
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemesh.llm import tokens
@@ -19,6 +19,15 @@ from passagemesh.runtime import materialize
 SLICES, MOST_SOURCES = 4096, 100_000
 
 
+#: The total that is all tokens of the listed sources' documents: small sources cannot fill their share of it.
+CORPUS = "corpus"
+
+
+def filled(text: Column) -> Column:
+    """Whether a text has a character that is neither blank, in any script, nor invisible. Null for null."""
+    return text.rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}]")
+
+
 def fill(targets: dict[str, tuple[float, int, int]], total: float | None = None) -> tuple[float, dict[str, float]]:
     """(total, tokens by source) for {source: (share, most repetitions, tokens there)}.
 
@@ -52,7 +61,7 @@ def _sized(documents: DataFrame, targets: DataFrame, seed: int, path: str) -> tu
     rows = listed.limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources have a target")
-    docs = documents.filter("source IS NOT NULL AND trim(text) <> ''").select("doc_id", "source", "text")
+    docs = documents.filter(F.col("source").isNotNull() & filled(F.col("text"))).select("doc_id", "source", "text")
     docs = docs.join(F.broadcast(listed.select("source")), "source", "left_semi")  # bounded just now
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = tokens.encode(docs, path=path, counts=True).select("doc_id", "source", "n_tokens", F.pmod(h, F.lit(SLICES)).alias("s1"), F.pmod(F.shiftright(h, 20), F.lit(SLICES)).alias("s2"))
@@ -71,10 +80,12 @@ def _slice_below(part: DataFrame, slice_: str, need: DataFrame) -> DataFrame:
     return found.select("source", F.col("f.at").alias(f"at_{slice_}"), (F.col("f.upto") - F.col("f.n")).alias("before"), (over < under).alias("nearer_after"))
 
 
-def plan(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> tuple[DataFrame, DataFrame]:
+def plan(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> tuple[DataFrame, DataFrame]:
     """(mix, report): see :func:`mix` and :func:`report`."""
     spark = documents.sparkSession
     sized, known = _sized(documents, targets, seed, path)
+    if total == CORPUS:
+        total = float(sum(n for w, cap, n in known.values() if w > 0 and cap > 0))
     total, got = fill(known, total)
     rows = []
     for s, (w, cap, n) in known.items():
@@ -96,22 +107,22 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None, s
     zero = lambda c: F.coalesce(c, F.lit(0))
     rep = rep.select(
         "source", "target_share", (F.col("allotted") / F.lit(max(total, 1.0))).alias("planned_share"), F.when(F.col("all") > 0, zero("used") / F.col("all")).otherwise(F.lit(0.0)).alias("actual_share"),
-        "available", zero("used").alias("tokens"), zero("n_docs").alias("n_docs"), zero("n_uses").alias("n_uses"), zero("most").alias("most_repeats"), "max_repeats",
+        "available", "allotted", ((F.col("available") > 0) & (F.col("allotted") >= F.col("available") * F.col("max_repeats"))).alias("clamped"), zero("used").alias("tokens"), zero("n_docs").alias("n_docs"), zero("n_uses").alias("n_uses"), zero("most").alias("most_repeats"), "max_repeats",
     )
     return out, rep
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> DataFrame:
     """(doc_id, source, n_tokens, repeats): how often each drawn document is used.
 
     Without ``total`` (in tokens) the mix is the largest in which every source that has documents has its target share; with
-    one, sources that cannot fill their share are clamped at max_repeats and the rest share what is lacking. Documents
-    without text, source or target stay out; targets without documents get nothing, and their share goes to the others.
+    one (or CORPUS, all tokens there are), sources that cannot fill their share are clamped at max_repeats and the rest share what is lacking. Documents
+    without text (null, empty, or only blanks and invisible characters), source or target stay out; targets without documents get nothing, and their share goes to the others.
     Repeated rows of one source add up to one target; the smallest max_repeats holds.
     """
     return plan(documents, targets, total, seed, path)[0]
 
 
-def report(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> DataFrame:
-    """Per listed source target, planned and actual share of the mix's tokens, and what was used."""
+def report(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 9, path: str = f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}") -> DataFrame:
+    """Per listed source target, planned and actual share of the mix's tokens, whether it is clamped at its most repetitions, and what was used."""
     return plan(documents, targets, total, seed, path)[1]

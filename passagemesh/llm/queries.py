@@ -74,6 +74,15 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p9_clamped_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """A mix as large as the corpus: small sources are clamped at max_repeats, the others share the excess."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), mixing.CORPUS)
+
+
+def p9_clamped_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), mixing.CORPUS)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.best_targets(table(spark, sf, "connections")).select("source_chunk_id", "target_chunk_id")
 
@@ -130,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_roundtrip": p8_roundtrip,
         "p9_mix": p9_mix,
         "p9_report": p9_report,
+        "p9_clamped_mix": p9_clamped_mix,
+        "p9_clamped_report": p9_clamped_report,
         "p10_found": p10_found,
         "p10_repaired": p10_repaired,
     }

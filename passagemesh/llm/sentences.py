@@ -40,6 +40,8 @@ STOPWORDS = {
 }
 
 _PAIRS = {"“": "”", "„": "“", "«": "»", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", '"': '"'}
+#: The openings a mark closes.
+_CLOSED_BY = {c: [o for o, k in _PAIRS.items() if k == c] for c in _PAIRS.values()}
 _CLOSERS = "”“»\"')\\]）」』》〉】’"
 _LINE = re.compile(r"[^\n\r  \x0b\x0c\x85]+")
 _REFERENCE = r"(?:\[\d+\])*"
@@ -139,6 +141,8 @@ CASCADES = {
     "ja": ("common", "ja"),
     "zh": ("common", "zh"),
 }
+#: Characters before a mark that a pattern sees: more than the longest abbreviation has.
+LOOK_BACK = 60
 _MARKS = re.compile(r"\.{2,}|[.!?…؟।॥۔;。！？｡]+")
 _REFERENCES = re.compile(_REFERENCE)
 _BESIDE = set("\"“”„'‘’«»「」『』《》")
@@ -177,27 +181,20 @@ def language(text: str, declared: str | None) -> str:
 
 
 def enclosed(line: str) -> list[tuple[int, int]]:
-    """(opening, closing) positions of the outermost paired marks of a line; a mark without its pair is none."""
+    """(opening, closing) positions of the outermost paired marks of a line; a mark without its pair is none. One pass, with a stack per kind of pair."""
+    pair: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for k, c in enumerate(line):
+        for opening in _CLOSED_BY.get(c, ()):
+            if waiting.get(opening):
+                pair[waiting[opening].pop()] = k
+        if c in _PAIRS:
+            waiting.setdefault(c, []).append(k)
     out, at = [], 0
-    while at < len(line):
-        close = _PAIRS.get(line[at])
-        if close is None:
-            at += 1
-            continue
-        depth, end = 0, -1
-        for k in range(at + 1, len(line)):
-            if line[k] == close:
-                if depth == 0:
-                    end = k
-                    break
-                depth -= 1
-            elif line[k] == line[at]:
-                depth += 1
-        if end < 0:
-            at += 1
-        else:
-            out.append((at, end))
-            at = end + 1
+    for k in sorted(pair):
+        if k >= at:
+            out.append((k, pair[k]))
+            at = pair[k] + 1
     return out
 
 
@@ -232,7 +229,7 @@ def _ends(line: str, lang: str, by_blank: bool) -> list[int]:
         if within(pos):
             continue
         for brk, before, after in rules:
-            if after.match(line, pos) and before.search(line, max(0, pos - 40), pos):
+            if after.match(line, pos) and before.search(line, max(0, m.start() - LOOK_BACK), pos):
                 if brk:
                     ends.append(pos)
                 break

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemesh.runtime import materialize
+from passagemesh.llm.mixing import filled
 from passagemesh.llm.sentences import units
 
 #: Hash buckets of terms; singular vectors; subspace passes; rounds of weights and vectors; moves of the centroids in a round.
@@ -353,7 +354,7 @@ def summaries(nodes: DataFrame, themes: DataFrame) -> DataFrame:
     a = nodes.select("doc_id", F.col("doc_summary").alias("text"), F.col("doc_themes").alias("themes"))
     b = themes.select("doc_id", F.col("source_text").alias("text"), "themes")
     every = a.unionByName(b).filter("doc_id IS NOT NULL")
-    text = F.when(F.trim("text") != "", F.col("text"))
+    text = F.when(filled(F.col("text")), F.col("text"))
     one = every.groupBy("doc_id").agg(F.max_by(text, F.struct(F.length(text), text)).alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("themes", F.array().cast("array<string>")))))).alias("themes"))
     return one.filter("text IS NOT NULL")
 
