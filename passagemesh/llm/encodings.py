@@ -87,6 +87,12 @@ def _direct(read: str, really: str) -> dict[int, str | None]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _both(read: str, really: str) -> frozenset[str]:
+    """Characters of ``read`` whose byte ``really`` has too."""
+    return frozenset(chr(o) for o, c in _direct(read, really).items() if c != "\ufffe")
+
+
 def quoted(text: str, start: int, end: int) -> bool:
     """Whether the word around text[start:end] is short and quotation marks or brackets enclose it: a mention, not a passage."""
     while start > 0 and end - start <= 9 and not text[start - 1].isspace() and text[start - 1] not in _OPEN:
@@ -141,12 +147,10 @@ def _undo_legacy(text: str, read: str, really: str) -> str:
         return text.encode(read).decode(really)
     if really in _WIDE_CODECS:
         return text.translate(_to_bytes(read)).encode("latin-1").decode(really)
-    table = _direct(read, really)
-    out = text.translate(table)
     # characters the first encoding lacks, or bytes the second lacks: this passage isn't of the chain
-    if "\ufffe" in out or any(ord(c) > 127 and ord(c) not in table for w in _WIDE.findall(text) for c in w):
+    if not frozenset("".join(_WIDE.findall(text))) <= _both(read, really):
         return text
-    return out
+    return text.translate(_direct(read, really))
 
 
 @dataclass(frozen=True)
@@ -186,11 +190,10 @@ def chains() -> list[Chain]:
 
 def losses(text: str) -> dict[str, int]:
     """Traces of the lossy chains in ``text``: replaced characters, dropped C1 controls, question marks for letters."""
-    found = {"replaced": len(_LOST.findall(text)), "dropped": 0, "asked": 0}
+    found = {"replaced": len(_LOST.findall(text)) if "\ufffd" in text else 0, "dropped": 0, "asked": 0}
     if not text.isascii():
         found["dropped"] = sum(not quoted(text, m.start(), m.end()) for m in _NO_C1.finditer(text))
-    plain = _LINK.sub(" ", text)
-    asked = len(_ASKED.findall(plain))
+    asked = len(_ASKED.findall(_LINK.sub(" ", text))) if text.count("?") > 1 else 0
     found["asked"] = asked if asked > 1 else 0
     return {k: v for k, v in found.items() if v}
 
@@ -232,6 +235,16 @@ class BigramModel:
         pair, first = _pairs(_points(text))
         return float((self.pair[pair] - self.char[first]).sum())
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The score of each text."""
+        if not texts:
+            return np.zeros(0)
+        pair, first = _pairs(_points("\n".join(texts)))
+        upto = np.concatenate([[0.0], np.cumsum(self.pair[pair] - self.char[first], dtype=np.float64)])
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        return upto[start + size] - upto[start]
+
 
 def bigram_model(texts: DataFrame) -> BigramModel:
     """Counts the bigrams of the one column of ``texts``, all rows; at most 2**18 + 2**16 counts reach the driver."""
@@ -277,33 +290,54 @@ def _possible(segment: str, ways: list[Chain]) -> list[Chain]:
         elif w.kind == "wide":
             ok = dense and "\ufffd" in chars or dense and max(chars) >= "\u3000"
         else:
-            ok = dense != (w.really in _LATIN) and (w.read in _WIDE_CODECS or chars <= _known(w.read))
+            ok = dense != (w.really in _LATIN) and (w.read in _WIDE_CODECS or chars <= (_known(w.read) if w.really in _WIDE_CODECS else _both(w.read, w.really)))
         if ok:
             out.append(w)
     return out
 
 
-def evidence(text: str, model: BigramModel, ways: list[Chain]) -> dict[str, float]:
-    """The gain of each chain on ``text``, for chains with any."""
-    gain: dict[str, float] = {}
-    if not text.isascii():
+def evidence_of(texts: list[str | None], model: BigramModel, ways: list[Chain]) -> list[dict[str, float]]:
+    """The gain of each chain on each text, for chains with any. All candidates are scored in one pass over their characters."""
+    tried: list[tuple[int, Chain, int, int]] = []  # text, chain, place of the segment and of the undone one among the scored
+    scored: list[str] = []
+    for n, text in enumerate(texts):
+        if not text or text.isascii():
+            continue
         for s in segments(text):
             if s.isascii():
                 continue
-            base = None
+            base = -1
             for w in _possible(s, ways):
                 real = w.undo(s)
                 if real is None:
                     continue
-                if base is None:
-                    base = model.score(s)
-                    changed = sum(ord(c) > 127 for c in s)
-                g = model.score(real) - base + (BONUS_UTF8 if w.kind == "utf8" else BONUS_OTHER)
-                if g >= GAIN_LEAST and (w.kind == "utf8" or g >= GAIN_PER_CHAR * changed):
-                    gain[w.name] = gain.get(w.name, 0.0) + g
-    for k, n in losses(text).items():
-        gain[k] = gain.get(k, 0.0) + LOSS_GAIN * n
-    return gain
+                if base < 0:
+                    base = len(scored)
+                    scored.append(s)
+                tried.append((n, w, base, len(scored)))
+                scored.append(real)
+    score = model.scores(scored)
+    changed: dict[int, int] = {}
+    gains: list[dict[str, float]] = [{} for _ in texts]
+    for n, w, base, real in tried:
+        g = float(score[real] - score[base]) + (BONUS_UTF8 if w.kind == "utf8" else BONUS_OTHER)
+        if g < GAIN_LEAST:
+            continue
+        if w.kind != "utf8":
+            if base not in changed:
+                changed[base] = sum(map(len, _WIDE.findall(scored[base])))
+            if g < GAIN_PER_CHAR * changed[base]:
+                continue
+        gains[n][w.name] = gains[n].get(w.name, 0.0) + g
+    for gain, text in zip(gains, texts):
+        for k, c in losses(text).items() if text else ():
+            gain[k] = gain.get(k, 0.0) + LOSS_GAIN * c
+    return gains
+
+
+def evidence(text: str, model: BigramModel, ways: list[Chain]) -> dict[str, float]:
+    """The gain of each chain on ``text``, for chains with any."""
+    return evidence_of([text], model, ways)[0]
 
 
 def _evidence_rows(key: str, model: BigramModel):
@@ -311,8 +345,10 @@ def _evidence_rows(key: str, model: BigramModel):
         ways = chains()
         for b in batches:
             keys, fields, names, gains, tops = [], [], [], [], []
-            for k, s, t in zip(b.column(key).to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist()):
-                best = sorted(evidence(t, model, ways).items(), key=lambda x: -x[1]) if t else []
+            texts = b.column("text").to_pylist()
+            evidences = [g for at in range(0, len(texts), 250) for g in evidence_of(texts[at : at + 250], model, ways)]
+            for k, s, g in zip(b.column(key).to_pylist(), b.column("source").to_pylist(), evidences):
+                best = sorted(g.items(), key=lambda x: -x[1])
                 for name, g in best:
                     keys.append(k)
                     fields.append(s)
@@ -324,14 +360,14 @@ def _evidence_rows(key: str, model: BigramModel):
     return run
 
 
-def posteriors(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+def posteriors(documents: DataFrame, key: str = "doc_id", model: BigramModel | None = None) -> DataFrame:
     """(key, chain, gain, share, p): posterior of each chain that has evidence in a record, and its share in the source; the rest of 1 is that of no chain.
 
     ``documents`` needs ``key``, ``source`` and ``text``; null, empty and blank texts have no evidence. Null sources
     are pooled as one source. Repeated rows of a key count once each in the shares and give equal rows.
     """
     texts = documents.select(key, F.coalesce("source", F.lit("")).alias("source"), "text")
-    model = bigram_model(texts.select("text"))
+    model = model or bigram_model(texts.select("text"))
     kind = dict(texts.dtypes)[key]
     ev = materialize(texts.mapInArrow(_evidence_rows(key, model), f"{key} {kind}, source string, chain string, gain double, top double"), "evidence")
     sizes = texts.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -407,13 +443,13 @@ def _repair(model: BigramModel):
 
 def repaired(documents: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(key, chain, p, restored, whole) of each found record: the likeliest chain of each segment undone, the record's in ``chain``; ``whole`` is false where characters were lost or a segment still has evidence."""
-    post = posteriors(documents, key)
+    model = bigram_model(documents.select("text"))
+    post = posteriors(documents, key, model)
     undone = F.col("chain").contains(">") & (F.col("gain") + F.log("share") > 0)  # else weak evidence would hide a lossy chain
     top = F.max_by(F.struct("chain", "p"), F.struct(undone, "p", "chain")).alias("top")
     undoable = F.sum(F.when(F.col("chain").contains(">"), F.col("p")))
     best = post.groupBy(key).agg(F.sum("p").alias("p"), top, undoable.alias("undoable"), F.collect_set(F.struct("chain", "share")).alias("every")).filter(F.col("p") > threshold)
     best = best.select(key, F.col("top.chain").alias("chain"), "p", (F.greatest("top.p", F.lit(1e-300)) / F.greatest("top.p", "undoable", F.lit(1e-300))).alias("chain_p"), "every")
-    model = bigram_model(documents.select("text"))
     rows = documents.select(key, "text").dropDuplicates([key]).join(best, key)
     kind = dict(documents.dtypes)[key]
     out = rows.select(key, "chain", "p", "text", "chain_p", "every").mapInArrow(_repair(model), f"{key} {kind}, chain string, p double, text string, chain_p double, every array<struct<chain:string,share:double>>, restored string, whole boolean")
