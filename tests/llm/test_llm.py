@@ -184,9 +184,46 @@ def test_perturbation_order():
     assert p[0] == (0,) and len(set(p)) == 6
 
 
+def test_singular_vectors_hold_the_exact_energy(spark):
+    """The subspace iteration against an exact decomposition of the same weighted matrix."""
+    rng = np.random.default_rng(1)
+    words = ["".join(c) for c in itertools.islice(itertools.product("abcdefgh", repeat=3), 400)]
+    topics = rng.dirichlet(np.full(400, 0.05), 30)
+    texts = [" ".join(rng.choice(words, 40, p=topics[rng.integers(30)])) + "." for _ in range(300)]
+    df = spark.createDataFrame([(str(i), t, []) for i, t in enumerate(texts)], "doc_id string, text string, themes array<string>")
+    docs = subjects.prepared(df)
+    w = subjects.Weights(subjects.inverse_frequencies(docs))
+    v = subjects.singular_vectors(docs, w, rank=24)
+    r, c, x = subjects._weighted(subjects.counted(texts), len(texts), w)
+    m = np.zeros((len(texts), len(w)))
+    m[r, c] = x
+    exact = np.linalg.svd(m, compute_uv=False)
+    assert np.allclose(v.T @ v, np.eye(24), atol=1e-4)
+    assert (np.linalg.norm(m @ v) / np.linalg.norm(exact[:24])) ** 2 > 0.99
+
+
+def test_documents_as_counts_are_read_as_written(spark):
+    texts, themes = ["One two. Three four.", None, "", "科学研究。体育比赛"], [["Law", "law"], ["Music"], None, []]
+    df = spark.createDataFrame(list(zip("abcd", texts, themes)), "doc_id string, text string, themes array<string>")
+    got = subjects.Docs.read(subjects.prepared(df).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0])
+    want = subjects.Docs.of(texts, themes)
+    for name in ("n", "doc", "length", "theme_doc"):
+        assert np.array_equal(getattr(got, name), getattr(want, name))
+    assert all(np.array_equal(x, y) for n in ("said", "themes") for x, y in zip(getattr(got, n), getattr(want, n)))
+    assert want.doc.tolist() == [0, 0, 3, 3] and want.theme_doc.tolist() == [0, 1]
+
+
 # --- p2, p3
 
 
+def test_unmatched_marks_take_one_pass():
+    import time
+
+    start = time.time()
+    assert sentences.enclosed("(" * 200_000) == [] and time.time() - start < 1
+    assert sentences.enclosed('a “b” („c“) "d"') == [(2, 4), (6, 10), (12, 14)]
+
+
 @pytest.mark.parametrize(
     "text, lang, want",
     [
@@ -288,9 +325,9 @@ def test_every_term_has_its_weight(spark, monkeypatch):
     rows = [(k, " ".join(words[k // 2 * 1000 : (k // 2 + 1) * 1000]), "en", ["law" if k < 12 else "music"]) for k in range(24)]  # each word in two texts
     ex = spark.createDataFrame(rows, "example_id int, text string, lang string, subjects array<string>")
     texts = spark.createDataFrame([("d", "aaaa aaab", ["x"])], "doc_id string, text string, themes array<string>")
-    space, _ = subjects.fitted(texts, ex, spark.createDataFrame([("law",), ("music",)], "subject string"))
+    space, _ = subjects.fitted(subjects.prepared(texts), ex, spark.createDataFrame([("law",), ("music",)], "subject string"))
     assert len(space.w) == len({b for w in words for b in subjects.terms(w)}) > 8192
-    assert (np.linalg.norm(space.embed(words), axis=1) > 0.99).all()
+    assert (np.linalg.norm(space.embed(subjects.counted(words), len(words)), axis=1) > 0.99).all()
 
 
 # --- p9
@@ -304,6 +341,18 @@ def test_fill():
     assert mixing.fill({}) == (0.0, {})
 
 
+def test_clamped_mix(spark):
+    """A total that small sources cannot fill their share of: they are clamped, and the others share what is lacking."""
+    docs = [(i, "word " * 20, "big" if i < 80 else "small" if i < 90 else "other") for i in range(200)] + [(900, " \u3000\u200b", "small"), (901, None, "big"), (902, "x", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("big", 0.5, 2), ("small", 0.3, 2), ("other", 0.2, 1), ("none", 0.1, 5)], "source string, target_share double, max_repeats int")
+    mix, rep = mixing.plan(df, t, mixing.CORPUS)
+    r = {x.source: x for x in rep.collect()}
+    assert r["small"].clamped and r["small"].most_repeats == 2 and r["small"].n_docs == 10 and r["none"].tokens == 0
+    assert not r["big"].clamped and abs(r["big"].actual_share / r["other"].actual_share - 2.5) < 0.15
+    assert {x.doc_id for x in mix.collect()}.isdisjoint({900, 901, 902})
+
+
 def test_mix(spark, sf):
     docs, targets = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/mix_targets.parquet")
     mix, rep = mixing.plan(docs, targets, total=60_000)
