@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemesh.functions import text as T
-from passagemesh.operators import corpus, evaluate, graph, paths, rerank, similarity, themes, traversal
+from passagemesh.operators import corpus, evaluate, graph, grouping, paths, rerank, similarity, themes, traversal
 from passagemesh.plans import walk_sql
 from passagemesh.runtime import table
 
@@ -363,6 +363,99 @@ def i7_guided_traversal(spark, sf):
     return _answers_of(traversal.walk("llm_guided_traversal", *_graph(spark, sf), chooser=_chosen))
 
 
+# --- context groups -----------------------------------------------------------------------------------------------------
+
+_PASSAGES = f"""{_NODES}, {_EDGES}, {walk_sql.sentences(_USABLE)},
+starts AS (SELECT chunk_id AS id, min(start_sentence_idx) AS pos FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+passages AS (SELECT n.id, n.doc, coalesce(s.pos, 0) AS pos FROM nodes n LEFT JOIN starts s ON s.id = n.id),
+texts AS (SELECT id, list_transform(l, lambda s: s.text) AS texts FROM held),
+likes AS (SELECT a.title AS doc, b.title AS other, min(e.rank) AS rank FROM (SELECT doc_id, similar_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, similar_id) AS rank FROM (
+  SELECT doc_id, similar_id, max(score) AS score FROM (SELECT doc_id, unnest(map_keys(theme_similarity_scores)) AS similar_id, unnest(map_values(theme_similarity_scores)) AS score FROM document_nodes WHERE doc_id IS NOT NULL) WHERE score >= 0.2 AND similar_id <> doc_id GROUP BY 1, 2)) e
+  JOIN (SELECT DISTINCT doc_id, title FROM document_nodes WHERE title IS NOT NULL) a ON a.doc_id = e.doc_id JOIN (SELECT DISTINCT doc_id, title FROM document_nodes WHERE title IS NOT NULL) b ON b.doc_id = e.similar_id WHERE a.title <> b.title GROUP BY 1, 2)"""
+
+
+def _passages(spark, sf):
+    n = _nodes(spark, sf)
+    g = traversal.graph(n, _edges(spark, sf), table(spark, sf, "sentence_embeddings"))
+    starts = table(spark, sf, "chunks").filter("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.min("start_sentence_idx").alias("pos"))
+    chunks = n.select("id", "doc").join(starts, "id", "left").select("id", "doc", F.coalesce("pos", F.lit(0)).alias("pos"), F.lit(None).cast("double").alias("quality"))
+    names = table(spark, sf, "document_nodes").filter("title IS NOT NULL").select("doc_id", "title").distinct()
+    like = themes.theme_edges(table(spark, sf, "document_nodes"), best=1_000_000)
+    like = like.join(names.toDF("doc_id", "doc"), "doc_id").join(names.toDF("similar_id", "other"), "similar_id").filter("doc <> other").groupBy("doc", "other").agg(F.min("rank").alias("rank"))
+    links = _edges(spark, sf).select("src", "dst", "sim")
+    return grouping.Passages(chunks, links, g.held.select("id", F.transform("l", lambda s: s["text"]).alias("texts")), like)
+
+
+def _group_anchors(g):
+    return g.chunks.filter(traversal.is_query(F.col("id"))).select(F.col("id").alias("group_id"), "id")
+
+
+def _grown_sql(strategy: str) -> str:
+    keep = {"intra_document": "t.doc = w.home", "inter_document": "t.doc <> w.doc", "similarity": "true", "theme_based": "t.doc <> w.doc"}[strategy]
+    rank = "coalesce(CASE WHEN e.sim > 0 THEN k.rank END, 1000000000)" if strategy == "theme_based" else "0"
+    return f"""WITH RECURSIVE {_PASSAGES},
+walk AS (
+  SELECT p.id AS group_id, p.id AS cur, p.doc, p.doc AS home, [p.id] AS path, coalesce(t.texts, []::VARCHAR[]) AS have, false AS done, 0 AS hop FROM passages p LEFT JOIN texts t ON t.id = p.id WHERE {_IS_QUERY.replace('md5(id)', 'md5(p.id)')}
+  UNION ALL
+  SELECT group_id, coalesce(b.dst, cur), coalesce(b.doc, doc), home, CASE WHEN b IS NULL THEN path ELSE list_append(path, b.dst) END,
+    CASE WHEN b IS NULL THEN have ELSE list_concat(have, list_filter(b.texts, lambda x: NOT list_contains(have, x)))[1:greatest(len(have), 10)] END, b IS NULL, hop + 1
+  FROM (SELECT w.group_id, any_value(w.cur) AS cur, any_value(w.doc) AS doc, any_value(w.home) AS home, any_value(w.path) AS path, any_value(w.have) AS have, any_value(w.hop) AS hop,
+      min({{'r': {rank}, 'n': -e.sim, 'dst': e.dst, 'doc': t.doc, 'texts': coalesce(x.texts, []::VARCHAR[])}}) FILTER (t.id IS NOT NULL AND {keep} AND NOT list_contains(w.path, e.dst) AND NOT list_has_any(w.have, coalesce(x.texts, []::VARCHAR[]))) AS b
+    FROM walk w LEFT JOIN edges e ON e.src = w.cur AND len(w.have) < 10 LEFT JOIN passages t ON t.id = e.dst LEFT JOIN texts x ON x.id = e.dst LEFT JOIN likes k ON k.doc = w.doc AND k.other = t.doc
+    WHERE NOT w.done AND w.hop < 50 GROUP BY w.group_id))
+SELECT group_id, '{strategy}' AS strategy, path AS chunk_ids, have[1:10] AS sentences, CASE WHEN len(have) >= 10 THEN 'sentence_limit' ELSE 'no_more_chunks' END AS reason FROM walk WHERE done OR hop = 50"""
+
+
+def _grown(strategy):
+    def run(spark, sf):
+        g = _passages(spark, sf)
+        return grouping.grown(strategy, _group_anchors(g), g)
+
+    return run
+
+
+for _name, _strategy in (("m6_intra_document_groups", "intra_document"), ("m7_inter_document_groups", "inter_document"), ("m8_theme_based_groups", "theme_based"), ("m10_similarity_groups", "similarity")):
+    QUERIES[_name], SQL[_name] = _grown(_strategy), _grown_sql(_strategy)
+
+
+@query()
+def m9_sequential_groups(spark, sf):
+    g = _passages(spark, sf)
+    return grouping.sequential(_group_anchors(g), g)
+
+
+@query(
+    f"""WITH {_NODES}, p AS (SELECT id, doc, md5('7:' || id) AS h, row_number() OVER (PARTITION BY doc ORDER BY md5('7:' || id), id) AS place FROM nodes),
+n AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY h, id) - 1 AS n FROM p QUALIFY n < 60),
+g AS (SELECT place, n // 3 AS part, list(id ORDER BY n) AS chunk_ids FROM n GROUP BY 1, 2 HAVING count(*) = 3)
+SELECT 'native:' || place || ':' || part AS group_id, 'native' AS strategy, chunk_ids FROM g ORDER BY place, part LIMIT 20"""
+)
+def m11_native_groups(spark, sf):
+    """Twenty groups: how many are drawn is the operator's own parameter."""
+    return grouping.native(_passages(spark, sf).chunks, 20, 7)
+
+
+@query(f"WITH {_NODES} SELECT id AS group_id, id FROM nodes ORDER BY md5('3:' || id), id LIMIT 50")
+def m1_anchor_chunks(spark, sf):
+    """Fifty anchors: how many are drawn is the operator's own parameter."""
+    return grouping.anchor_chunks(_passages(spark, sf).chunks, 50, 3)
+
+
+@query(
+    f"""WITH {_PASSAGES}, f AS (SELECT id, lead(id) OVER (PARTITION BY doc ORDER BY pos, id) AS after FROM passages)
+SELECT f.id AS src, f.after AS dst, coalesce(e.sim, 0.0) AS sim FROM f LEFT JOIN (SELECT src, dst, max(sim) AS sim FROM edges GROUP BY 1, 2) e ON e.src = f.id AND e.dst = f.after WHERE f.after IS NOT NULL"""
+)
+def m4_stored_similarity(spark, sf):
+    g = _passages(spark, sf)
+    return grouping.stored_similarity(grouping.flow(g).filter("after IS NOT NULL").select(F.col("cur").alias("src"), F.col("after").alias("dst")), g.links)
+
+
+@query("SELECT * FROM (VALUES ('inter_document', 3), ('intra_document', 4), ('native', 1), ('theme_based', 4)) t(strategy, n_groups)")
+def m13_strategy_counts(spark, sf):
+    made = grouping.groups(_passages(spark, sf), {"intra_document": 0.33, "theme_based": 0.33, "inter_document": 0.2, "native": 0.14}, 12, 1)
+    return grouping.strategy_counts(made).select("strategy", F.col("n_groups").cast("int").alias("n_groups"))
+
+
 # --- paths --------------------------------------------------------------------------------------------------------------
 
 
@@ -438,8 +531,10 @@ def l5_exactly_ten(spark, sf):
     """WITH t AS (SELECT id, min(expectedOutput) AS text FROM goldens WHERE id IS NOT NULL GROUP BY 1),
 u AS (SELECT id, list_filter(list_transform(string_split(text, '.'), lambda s: regexp_replace(s, '^[ \\t\\n\\r\\f\\p{Z}]+|[ \\t\\n\\r\\f\\p{Z}]+$', '', 'g')), lambda s: s <> '') AS a FROM t WHERE text IS NOT NULL),
 p AS (SELECT id, list_filter(a, lambda s, i: list_position(a, s) = i) AS p FROM u WHERE len(a) > 0),
-g AS (SELECT id, p, unnest(range((len(p) - 1) // 3 + 1))::INTEGER AS "group" FROM p)
-SELECT id, "group", array_to_string(p["group" * 3 + 1:"group" * 3 + 3], '. ') || '.' AS text FROM g"""
+g AS (SELECT id, p, unnest(range((len(p) - 1) // 3 + 1))::INTEGER AS "group" FROM p),
+x AS (SELECT id, "group", array_to_string(p["group" * 3 + 1:"group" * 3 + 3], '. ') || '.' AS text FROM g),
+y AS (SELECT *, sum(length(text)) OVER (PARTITION BY id ORDER BY "group") AS upto FROM x)
+SELECT id, "group", CASE WHEN upto <= 8000 THEN text ELSE substr(text, 1, (8000 - upto + length(text))::BIGINT) || '...' END AS text FROM y WHERE upto <= 8000 OR 8000 - upto + length(text) > 200"""
 )
 def n4_regrouped(spark, sf):
     t = table(spark, sf, "goldens").filter("id IS NOT NULL").groupBy("id").agg(F.min("expectedOutput").alias("text")).filter("text IS NOT NULL")
@@ -480,6 +575,83 @@ def o5_metric_summary(spark, sf):
     return evaluate.metric_summary(r)
 
 
+_METRICS = f"""{_OVERLAP}, src AS (SELECT id, min(sourceFile) AS algorithm FROM goldens WHERE id IS NOT NULL GROUP BY 1),
+words AS (SELECT id, {_WORDS.format('answer')} AS n FROM (SELECT id, min(expectedOutput) AS truth, min(actualOutput) AS answer FROM goldens WHERE id IS NOT NULL GROUP BY 1) WHERE truth IS NOT NULL AND answer IS NOT NULL),
+metrics AS (SELECT algorithm, r.id AS case_id, 'overlap' AS metric, share / 100 AS score FROM r JOIN src ON src.id = r.id
+ UNION ALL SELECT algorithm, words.id, 'length', CASE WHEN n < 15 THEN n / 15.0::DOUBLE WHEN n > 50 THEN greatest(0.3::DOUBLE, 50.0::DOUBLE / n) ELSE 1.0::DOUBLE END FROM words JOIN src ON src.id = words.id)"""
+
+
+def _metrics(spark, sf):
+    """Two deterministic metrics of each golden: sentence overlap and length."""
+    f = table(spark, sf, "goldens").filter("id IS NOT NULL").groupBy("id").agg(F.min("sourceFile").alias("algorithm"))
+    a = _answers(spark, sf)
+    overlap = evaluate.overlap(a).select("id", F.lit("overlap").alias("metric"), (F.col("share") / 100).alias("score"))
+    length = a.select("id", F.lit("length").alias("metric"), T.length_score(F.col("answer")).alias("score"))
+    return overlap.unionByName(length).join(f, "id").select("algorithm", F.col("id").alias("case_id"), "metric", "score")
+
+
+@query(f"WITH {_METRICS} SELECT algorithm, case_id, count(score) AS n_metrics, count_if(score >= 0.5)::BIGINT AS n_passed, bool_or(score >= 0.5) AS success FROM metrics GROUP BY 1, 2")
+def o4_case_results(spark, sf):
+    return evaluate.case_results(_metrics(spark, sf))
+
+
+@query(
+    f"""WITH {_METRICS}, m AS (SELECT algorithm, metric, avg(score) AS m FROM metrics GROUP BY 1, 2), ov AS (SELECT algorithm, round(avg(m), 6) AS overall, round(stddev_pop(m), 6) AS spread FROM m GROUP BY 1),
+c AS (SELECT algorithm, case_id, count(score) AS k, bool_or(score >= 0.5) AS ok FROM metrics GROUP BY 1, 2), n AS (SELECT algorithm, count(*) AS cases, count_if(ok)::BIGINT AS successful, sum(k) AS judged FROM c GROUP BY 1)
+SELECT n.algorithm, cases, successful, round(successful / cases, 6) AS success_rate, overall, spread, round(overall * cases / judged, 6) AS efficiency, rank() OVER (ORDER BY overall DESC)::INTEGER AS rank FROM n JOIN ov ON ov.algorithm IS NOT DISTINCT FROM n.algorithm WHERE n.algorithm IS NOT NULL"""
+)
+def o5_ranking(spark, sf):
+    return evaluate.ranking(_metrics(spark, sf).filter("algorithm IS NOT NULL"))
+
+
+@query(f"WITH {_OVERLAP} SELECT sum(n_found)::BIGINT AS n_found, sum(n_truth)::BIGINT AS n_possible, round(100.0::DOUBLE * sum(n_found) / sum(n_truth), 6) AS percentage FROM r")
+def o10_retrieval_percentage(spark, sf):
+    return evaluate.retrieval_percentage(evaluate.overlap(_answers(spark, sf)))
+
+
+_TWO = ("basic_retrieval", "ssg_traversal")
+
+
+@query(
+    f"""WITH a AS (SELECT query_id, 'basic_retrieval' AS algorithm, gathered FROM ({walk_sql.basic(_GRAPH)}) UNION ALL SELECT query_id, 'ssg_traversal', gathered FROM ({walk_sql.walk(_GRAPH, 'ssg_traversal')})),
+e AS (SELECT DISTINCT query_id, algorithm, unnest(gathered) AS s FROM a), b AS (SELECT query_id, s, count(*) AS n, min(algorithm) AS one FROM e GROUP BY 1, 2)
+SELECT query_id, algorithm, len(gathered)::INTEGER AS n_sentences, (SELECT count(*) FROM b WHERE b.query_id = a.query_id AND b.n = 1 AND b.one = a.algorithm) AS n_unique,
+ len(gathered) = max(len(gathered)) OVER (PARTITION BY query_id) AS best_coverage, (SELECT count(*) FROM b WHERE b.query_id = a.query_id) AS total_unique FROM a"""
+)
+def o9_content_comparison(spark, sf):
+    return evaluate.content_comparison(traversal.retrieve_all(*_graph(spark, sf), algorithms=_TWO))
+
+
+@query(
+    f"""WITH {_NODES}, queries AS (SELECT * FROM nodes WHERE {_IS_QUERY}), said AS (SELECT sentence_id AS id, first(embedding) AS e FROM sentence_embeddings WHERE sentence_id IS NOT NULL AND {_USABLE} GROUP BY 1),
+u AS (SELECT 'chunk' AS kind, id, vec FROM nodes UNION ALL SELECT 'sentence', id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) FROM said),
+s AS (SELECT q.id AS query_id, kind, u.id, round(list_dot_product(q.vec, u.vec), 9) AS sim FROM queries q CROSS JOIN u)
+SELECT query_id, kind, id, round(s.sim, 6) AS sim, row_number() OVER (PARTITION BY query_id, kind ORDER BY s.sim DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5"""
+)
+def h1_query_similarities(spark, sf):
+    n = _nodes(spark, sf)
+    s = similarity.nodes(table(spark, sf, "sentence_embeddings"), "sentence_id")
+    return _shown(traversal.query_similarities(n.filter(traversal.is_query(F.col("id"))), n, s, 5))
+
+
+@query("WITH g AS (SELECT id, min(sourceFile) AS strategy FROM goldens WHERE id IS NOT NULL GROUP BY 1) SELECT strategy, count(*) AS n FROM g GROUP BY 1")
+def n2_strategy_distribution(spark, sf):
+    return table(spark, sf, "goldens").filter("id IS NOT NULL").groupBy("id").agg(F.min("sourceFile").alias("strategy")).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT doc_id AS group_id FROM document_nodes WHERE doc_id IS NOT NULL), s AS (SELECT group_id, row_number() OVER (ORDER BY md5('5:' || group_id), group_id) - 1 AS i FROM c QUALIFY i < 20),
+g AS (SELECT DISTINCT id, ('0x' || substr(md5(id), 1, 2))::INTEGER % 32 AS i FROM goldens WHERE id IS NOT NULL)
+SELECT g.id, CASE WHEN i < 24 THEN i END::INTEGER AS context_index, CASE WHEN i >= 24 THEN 'unknown' WHEN s.group_id IS NULL THEN 'index_error' ELSE 'theme_based' END AS grouping_method FROM g LEFT JOIN s USING (i)"""
+)
+def n7_context_metadata(spark, sf):
+    """Goldens given the metadata of twenty sampled contexts (the sample is the operator's purpose) by an index some lack and some have wrong."""
+    c = table(spark, sf, "document_nodes").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("group_id"), F.lit("theme_based").alias("strategy")).distinct()
+    i = F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % 32
+    g = table(spark, sf, "goldens").filter("id IS NOT NULL").select("id", F.when(i < 24, i).alias("context_index")).distinct()
+    return evaluate.with_context_metadata(g, evaluate.sampled_contexts(c, 20, 5)).select("id", "context_index", "grouping_method")
+
+
 @query("SELECT DISTINCT doc_id, array_to_string(list_transform(doc_themes, lambda x: replace(x, ' | ', ' ; ')), ' | ') AS themes FROM document_nodes WHERE doc_themes IS NOT NULL")
 def a14_flat_lists(spark, sf):
     return table(spark, sf, "document_nodes").filter("doc_themes IS NOT NULL").select("doc_id", evaluate.flat_context(F.col("doc_themes")).alias("themes")).distinct()
