@@ -131,9 +131,40 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"), F.round(F.avg("sim"), 6).alias("avg_sim"), F.round(F.min("sim"), 9).alias("min_sim"), F.round(F.max("sim"), 9).alias("max_sim"))
 
 
-def coordinates(edges: DataFrame) -> DataFrame:
-    """(src, dst, value): edges as a coordinate matrix keyed by ids; equal places add up."""
-    return edges.groupBy("src", "dst").agg(F.round(F.sum("sim"), 9).alias("value"))
+def union(intra: DataFrame, inter: DataFrame, docs: DataFrame) -> DataFrame:
+    """(src, dst, sim, rank, type, source_document, target_document): the edges inside documents and between them as one table; ``docs`` has id and doc."""
+    e = intra.withColumn("type", F.lit("intra_document")).unionByName(inter.withColumn("type", F.lit("inter_document")))
+    a, b = docs.select(F.col("id").alias("src"), F.col("doc").alias("source_document")), docs.select(F.col("id").alias("dst"), F.col("doc").alias("target_document"))
+    return e.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "sim", "rank", "type", "source_document", "target_document")
+
+
+def ordinals(nodes: DataFrame) -> DataFrame:
+    """(id, n): a number from 0 for each id, in order of the ids.
+
+    A global sort and the prefix sums of its partitions' sizes: no partition sees another's rows.
+    """
+    from passagemesh.runtime import materialize
+
+    s = nodes.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    s = materialize(s.withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "ordinals")
+    sizes = s.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # a row a partition
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return s.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("at")).alias("n"))
+
+
+def coordinates(edges: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """(src, dst, value), or with ``numbers`` (id, n) (matrix, row, col, value) of each type's matrix and the combined one: edges as coordinates; equal places add up."""
+    if numbers is None:
+        return edges.groupBy("src", "dst").agg(F.round(F.sum("sim"), 9).alias("value"))
+    e = edges.join(numbers.select(F.col("id").alias("src"), F.col("n").alias("row")), "src").join(numbers.select(F.col("id").alias("dst"), F.col("n").alias("col")), "dst")
+    each = e.select(F.explode(F.array("type", F.lit("combined"))).alias("matrix"), "row", "col", "sim")
+    return each.groupBy("matrix", "row", "col").agg(F.round(F.sum("sim"), 9).alias("value"))
+
+
+def compressed(coords: DataFrame) -> DataFrame:
+    """(matrix, row, cols, values): the rows of compressed sparse matrices, columns in order."""
+    c = coords.groupBy("matrix", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c"))
+    return c.select("matrix", "row", F.transform("c", lambda x: x["col"]).alias("cols"), F.transform("c", lambda x: x["value"]).alias("values"))
 
 
 def vector_statistics(embeddings: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemesh.functions import text as T
+from passagemesh.models import answered
+from passagemesh.operators.similarity import top_similar
 
 # Themes and the substrings that call for them, in order.
 THEMES = {
@@ -64,3 +68,41 @@ def inherited(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     d = nodes.filter("title IS NOT NULL").select("title", F.explode("doc_themes").alias("theme")).filter("theme IS NOT NULL").distinct()
     c = chunks.filter("chunk_id IS NOT NULL").select("chunk_id", F.col("source_article").alias("title")).distinct()
     return c.join(d, "title").select("chunk_id", "theme").distinct()
+
+
+def theme_similarities(vectors: DataFrame, queries: DataFrame, least: float = 0.2, best: int = 1) -> DataFrame:
+    """(doc_id, similar_id, score, rank): of each query document the ``best`` others by cosine of theme vectors (id, vec), at ``least``; with fewer than two documents none."""
+    v = vectors.select("id", F.col("id").alias("doc"), "vec")
+    q = queries.select("id", F.col("id").alias("doc"), "vec")
+    got = top_similar(q, v, best, least, same_doc=False)
+    return got.select(F.col("src").alias("doc_id"), F.col("dst").alias("similar_id"), F.round("sim", 9).alias("score"), "rank")
+
+
+def propagated(edges: DataFrame, chunks: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(kind, id, similar_id, score): what chunks (id, title) and sentences (id, title) take over of their document's theme edges (title, similar_id, score)."""
+    to = lambda d, kind: d.filter("id IS NOT NULL").select("id", "title").distinct().join(edges, "title").select(F.lit(kind).alias("kind"), "id", "similar_id", "score")
+    return to(chunks, "chunk").unionByName(to(sentences, "sentence"))
+
+
+def theme_score(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, score) of document pairs (a, b): the stored theme similarity, 0 where there is none."""
+    m = nodes.filter("doc_id IS NOT NULL AND theme_similarity_scores IS NOT NULL").groupBy(F.col("doc_id").alias("a")).agg(F.max_by("theme_similarity_scores", F.size("theme_similarity_scores")).alias("m"))
+    return pairs.join(m, "a", "left").select("a", "b", F.coalesce(F.try_element_at("m", "b"), F.lit(0.0)).alias("score"))
+
+
+def prompt(title: Column, summary: Column, themes: int = 5) -> Column:
+    """What a model is asked for a document's themes."""
+    return F.concat(F.lit(f"Name the {themes} main themes of this text as a JSON array of strings, nothing else.\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nText: "), F.coalesce(summary, F.lit("")))
+
+
+def extracted(docs: DataFrame, model: Callable[[list[str]], list[str | None]] | None = None, most: int = 5) -> DataFrame:
+    """(doc_id, themes, method) of documents (doc_id, title, summary): by ``model``, where it gives any, else by keywords ('fallback'; 'model_fallback' where a model gave none).
+
+    ``model`` answers a list of prompts, one batch at a time in the workers; a batch it fails on is answered by keywords.
+    """
+    own = fallback_themes(F.col("title"), F.col("summary"), most)
+    if model is None:
+        return docs.select("doc_id", own.alias("themes"), F.lit("fallback").alias("method"))
+    asked = answered(docs.withColumn("prompt", prompt(F.col("title"), F.col("summary"), most)), "prompt", "reply", model)
+    got = parse_themes(F.col("reply"), most)
+    return asked.select("doc_id", F.when(F.size(got) > 0, got).otherwise(own).alias("themes"), F.when(F.size(got) > 0, "model").otherwise("model_fallback").alias("method"))

@@ -493,20 +493,36 @@ def _rerank_inputs(spark, sf):
 
 def _tfidf_sql() -> str:
     stop = "[" + ", ".join(f"'{w}'" for w in rerank.STOP) + "]"
+    return f"""{_tfidf_ctes(stop)}
+SELECT query_id, pos, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity / (1.0 + 0.1 * pos), 9) DESC, pos)::INTEGER AS rank FROM s QUALIFY rank <= 10"""
+
+
+def _tfidf_ctes(stop: str) -> str:
     return f"""WITH g AS (SELECT id AS query_id, min(input) AS text, min(expectedOutput) AS answer FROM goldens WHERE id IS NOT NULL AND input IS NOT NULL AND expectedOutput IS NOT NULL GROUP BY 1),
 l AS (SELECT query_id, list_filter(regexp_split_to_array(answer, '[.!?]+( +|$)'), lambda s: length(s) > 10) AS p FROM g),
 c AS (SELECT query_id, (unnest(range(1, len(p) + 1)) - 1)::INTEGER AS pos, unnest(p) AS text FROM l),
 e AS (SELECT query_id, pos, text FROM c UNION ALL SELECT query_id, -1, text FROM g),
 k AS (SELECT query_id, pos, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stop}, w)) AS w FROM e),
 x AS (SELECT query_id, pos, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM k),
-t AS (SELECT query_id, pos, term, count(*) AS tf FROM x GROUP BY ALL),
+t0 AS (SELECT query_id, pos, term, count(*) AS tf FROM x GROUP BY ALL),
+t1 AS (SELECT query_id, term FROM (SELECT query_id, term, sum(tf) AS n FROM t0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) <= 5000),
+t AS (SELECT t0.* FROM t0 JOIN t1 ON t1.query_id = t0.query_id AND t1.term = t0.term),
 n AS (SELECT query_id, count(*) AS n FROM e GROUP BY 1),
 d AS (SELECT t.query_id, term, ln((1.0 + any_value(n.n)) / (1.0 + count(*))) + 1.0 AS idf FROM t JOIN n ON n.query_id = t.query_id GROUP BY ALL),
 w AS (SELECT t.query_id, pos, t.term, tf * idf AS w FROM t JOIN d ON d.query_id = t.query_id AND d.term = t.term),
 z AS (SELECT query_id, pos, sqrt(sum(w * w)) AS len FROM w GROUP BY ALL),
 dots AS (SELECT a.query_id, a.pos, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term AND b.pos = -1 WHERE a.pos >= 0 GROUP BY ALL),
-s AS (SELECT c.query_id, c.pos, round(coalesce(dot / (z.len * q.len), 0), 9) AS similarity FROM c LEFT JOIN dots ON dots.query_id = c.query_id AND dots.pos = c.pos LEFT JOIN z ON z.query_id = c.query_id AND z.pos = c.pos LEFT JOIN z q ON q.query_id = c.query_id AND q.pos = -1)
-SELECT query_id, pos, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity / (1.0 + 0.1 * pos), 9) DESC, pos)::INTEGER AS rank FROM s QUALIFY rank <= 10"""
+s AS (SELECT c.query_id, c.pos, round(coalesce(dot / (z.len * q.len), 0), 9) AS similarity FROM c LEFT JOIN dots ON dots.query_id = c.query_id AND dots.pos = c.pos LEFT JOIN z ON z.query_id = c.query_id AND z.pos = c.pos LEFT JOIN z q ON q.query_id = c.query_id AND q.pos = -1)"""
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in rerank.STOP) + "]"
+_WORD_SET = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'))"
+_COMMON = "['the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'is', 'are', 'was', 'were', 'how', 'what', 'why', 'when', 'where']"
+_RANKED = f"""{_tfidf_ctes(_STOP)},
+k0 AS (SELECT s.query_id, s.pos, s.similarity, round(s.similarity / (1.0 + 0.1 * s.pos), 9) AS score, c.text, g.text AS q FROM s JOIN c ON c.query_id = s.query_id AND c.pos = s.pos JOIN g ON g.query_id = s.query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM k0 QUALIFY rank <= 10),
+lasts AS (SELECT *, unnest(range(rank + 1, 11)) AS more FROM ranked QUALIFY rank = max(rank) OVER (PARTITION BY query_id)),
+pads AS (SELECT * EXCLUDE (rank), rank, false AS is_padding FROM ranked UNION ALL SELECT * EXCLUDE (rank, more), more, true FROM lasts)"""
 
 
 @query(_tfidf_sql())
@@ -514,14 +530,25 @@ def l1_tfidf(spark, sf):
     return rerank.tfidf(*_rerank_inputs(spark, sf)).select("query_id", "pos", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query()
+@query(
+    f"""{_RANKED}, h AS (SELECT query_id, pos, rank AS was, is_padding, 0.6::DOUBLE * similarity + 0.2::DOUBLE * (CASE WHEN n < 15 THEN n / 15.0::DOUBLE WHEN n > 50 THEN greatest(0.3::DOUBLE, 50.0::DOUBLE / n) ELSE 1.0::DOUBLE END)
+  + 0.2::DOUBLE * least(1.0::DOUBLE, len(list_filter(w, lambda x: list_contains(t, x)))::DOUBLE / greatest(1, len(w))) AS own
+ FROM (SELECT *, {_WORDS.format('text')} AS n, list_filter({_WORD_SET('q')}, lambda x: NOT list_contains({_COMMON}, x)) AS w, {_WORD_SET('text')} AS t FROM pads)),
+f AS (SELECT query_id, pos, was, is_padding, round(CASE WHEN is_padding THEN own * 0.1::DOUBLE ELSE own END, 9) AS score FROM h)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was)::INTEGER AS rank, pos, round(score, 6) AS score, is_padding FROM f"""
+)
 def l4_hybrid(spark, sf):
-    return rerank.hybrid(*_rerank_inputs(spark, sf))
+    return rerank.hybrid(*_rerank_inputs(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("WITH g AS (SELECT id AS query_id, min(expectedOutput) AS answer FROM goldens WHERE id IS NOT NULL AND input IS NOT NULL AND expectedOutput IS NOT NULL GROUP BY 1), l AS (SELECT query_id, list_filter(regexp_split_to_array(answer, '[.!?]+( +|$)'), lambda s: length(s) > 10) AS p FROM g), c AS (SELECT query_id, (unnest(range(1, len(p) + 1)) - 1)::INTEGER AS pos FROM l) SELECT query_id, pos, round(greatest(0.0, 1.0 - 0.1 * pos), 6)::DOUBLE AS score, pos + 1 AS rank FROM c")
+def l2_fallback_ranking(spark, sf):
+    return rerank.unranked(_rerank_inputs(spark, sf)[0]).select("query_id", "pos", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{_RANKED} SELECT query_id, rank::INTEGER AS rank, pos, round(CASE WHEN is_padding THEN score * 0.1::DOUBLE ELSE score END, 6) AS score, is_padding FROM pads")
 def l5_exactly_ten(spark, sf):
-    return rerank.padded(rerank.tfidf(*_rerank_inputs(spark, sf)))
+    return rerank.padded(rerank.tfidf(*_rerank_inputs(spark, sf))).withColumn("score", F.round("score", 6))
 
 
 # --- goldens and evaluation ---------------------------------------------------------------------------------------------
