@@ -320,3 +320,12 @@ def query_similarities(queries: DataFrame, nodes: DataFrame, sentences: DataFram
     with_doc = lambda d: d.select("id", F.lit("").alias("doc"), "vec")
     c, s = anchors(queries, with_doc(nodes), k), anchors(queries, with_doc(sentences), k)
     return c.withColumn("kind", F.lit("chunk")).unionByName(s.withColumn("kind", F.lit("sentence"))).select("query_id", "kind", "id", "sim", "rank")
+
+
+def hybrid(standing: DataFrame, g: Graph) -> DataFrame:
+    """(query_id, id, kind, sim, rank): the neighbours and the sentences with a vector of where each query stands (query_id, cur, q), by similarity to the query; equal ones neighbours first, in stored order."""
+    at = standing.select("query_id", "cur", "q")
+    chunks = at.join(g.edges.select(F.col("src").alias("cur"), F.col("dst").alias("id"), "ord"), "cur").join(g.nodes.select("id", "vec"), "id").select("query_id", "id", F.lit("chunk").alias("kind"), "ord", _near(F.col("q"), F.col("vec")).alias("sim"))
+    said = at.join(g.held.select(F.col("id").alias("cur"), F.explode("l").alias("s")), "cur").filter("s.v IS NOT NULL").select("query_id", F.col("s.sid").alias("id"), F.lit("sentence").alias("kind"), F.lit(2_000_000_000).alias("ord"), _near(F.col("q"), F.col("s.v")).alias("sim"))
+    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "ord", "id")
+    return chunks.unionByName(said).withColumn("rank", F.row_number().over(w)).drop("ord")

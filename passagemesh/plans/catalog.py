@@ -461,7 +461,7 @@ def m13_strategy_counts(spark, sf):
 
 @query(
     """WITH p AS (SELECT DISTINCT source_article AS path_id, start_sentence_idx AS step FROM chunks WHERE source_article IS NOT NULL AND start_sentence_idx IS NOT NULL)
-SELECT path_id, (count(*) - 1)::INTEGER AS hops, 0 AS n_errors, count(*) > 1 AS is_valid FROM p GROUP BY 1"""
+SELECT path_id, (count(*) - 1)::INTEGER AS hops, CASE WHEN count(*) - 1 BETWEEN 5 AND 10 THEN 0 ELSE 1 END AS n_errors, count(*) - 1 BETWEEN 5 AND 10 AS is_valid FROM p GROUP BY 1"""
 )
 def k7_validated_paths(spark, sf):
     c = table(spark, sf, "chunks").filter("source_article IS NOT NULL AND start_sentence_idx IS NOT NULL")
@@ -690,3 +690,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from passagemesh.plans import graph_catalog  # noqa: E402, F401 - registers the rest

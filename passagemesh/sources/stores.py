@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "_manifest.json"
+MANIFEST = "manifest.json"
 
 
 def _fs(spark: SparkSession, path: str):
