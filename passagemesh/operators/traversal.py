@@ -133,8 +133,14 @@ def walk(algorithm: str, queries: DataFrame, g: Graph, limits: Limits = Limits()
     rule = RULES[algorithm]
     semantic, average, guided, geometric = (algorithm == a for a in ("ssg_traversal", "triangulation_average", "llm_guided_traversal", "triangulation_geometric_fulldim"))
     geometric = geometric or algorithm == "triangulation_geometric_3d"
-    g = g.kept()
-    queries = materialize(queries.select(F.col("id").alias("query_id"), F.struct(F.col("vec").alias("u"), F.col("raw").alias("r")).alias("q")), "queries")
+    # only what the algorithm looks at is kept: vectors are most of a row
+    weighs = rule.sentence is not None
+    none_ = F.lit(None).cast("array<double>")
+    fields = {"text": True, "raw": geometric, "v": weighs, "c": True, "src": True, "sv": average}
+    slim = F.transform("l", lambda s: F.struct(*[(s[f] if on else none_).alias(f) for f, on in fields.items()]))
+    pair = F.struct(F.col("vec").alias("u"), (F.col("raw") if geometric else none_).alias("r"))
+    g = Graph(g.nodes.select("id", "doc", pair.alias("p"), "vec"), g.edges, g.held.select("id", slim.alias("l"))).kept()
+    queries = materialize(queries.select(F.col("id").alias("query_id"), pair.alias("q")), "queries")
     first = anchors(queries.select(F.col("query_id").alias("id"), F.col("q.u").alias("vec")), g.nodes).select("query_id", F.col("id").alias("cur"))
     none = F.expr("cast(array() as array<struct<text:string,conf:double,src:string,sv:array<double>,has:boolean>>)")
     state = queries.join(first, "query_id").select(
@@ -142,9 +148,9 @@ def walk(algorithm: str, queries: DataFrame, g: Graph, limits: Limits = Limits()
     )
     state = materialize(state, "walk")
     few = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # checked once: the live states only get fewer
-    here = g.nodes.select(F.col("id").alias("cur"), F.struct(F.col("vec").alias("u"), F.col("raw").alias("r")).alias("h"))
+    here = g.nodes.select(F.col("id").alias("cur"), F.col("p").alias("h"))
     held = g.held.select(F.col("id").alias("cur"), "l")
-    cand = g.nodes.select(F.col("id").alias("dst"), F.struct(F.col("vec").alias("u"), F.col("raw").alias("r")).alias("c"))
+    cand = g.nodes.select(F.col("id").alias("dst"), F.col("p").alias("c"))
     texts = g.held.select(F.col("id").alias("dst"), F.transform("l", lambda s: s["text"]).alias("texts"))
     links = g.edges.select(F.col("src").alias("cur"), "dst", "ord")
     over = []
