@@ -2,8 +2,8 @@
 
 A bounded sample of the pairs, mostly sound, gives the negatives. Positives are made from it: answers cut at a
 random place, replaced by the question or a slight change of it, swapped with an answer in another language, emptied, or
-replaced by refusals put together from stock phrases. Features are hashed word n-grams (of the whole answer, its
-first words and its last words) and pair features: overlap both ways, agreement of languages, emptiness, the end.
+replaced by refusals put together from stock phrases, which no feature knows; short sound answers are made as negatives. Features are hashed word n-grams (of the whole answer, its
+first words and its last words, and of short answers as a whole) and graded pair features: overlap both ways, shares in other languages, amounts, the end.
 One of the pair features is the corpus-wide trigram evidence that the answer was cut. Pairs of the sample that the first fit
 finds defective no longer count as sound in the second. Thresholds are set on a held-out third.
 """
@@ -29,6 +29,10 @@ DEFECTS = ["empty", "truncated", "refusal", "copies_question", "wrong_language"]
 #: Bound of the sample the classifier is fitted on, in pairs; hashed features; training steps.
 SAMPLE, BUCKETS, STEPS = 3000, 1 << 16, 150
 SEED = 1
+#: Thresholds that are tried; F1 scores that differ by less are alike.
+GRID, TIE = [round(0.02 * k, 2) for k in range(2, 49)], 0.003
+#: Parts of the sample, each judged by units fitted on the others; the score from which a pair is no example of a defect's absence; training steps of those units.
+FOLDS, DOUBT, FOLD_STEPS = 3, 0.3, 150
 
 # What stands for no content.
 PLACEHOLDERS = {"null", "none", "nil", "n/a", "na", "nan", "tbd", "todo", "undefined", "unknown", "empty", "<empty>", "(no answer)", "no answer", "(none)", "[]", "{}", '""', "''", "-", "--", "—", "...", "…", "<null>", "[empty]", "(empty)", "\\n", "no content", "(blank)", "blank"}
@@ -85,29 +89,22 @@ def _grams(text: str) -> set[str]:
     return {" ".join(t[i : i + 3]) for i in range(max(1, len(t) - 2))}
 
 
-_STOCK = [g for p in (*CORES, *(x for v in REFUSALS.values() for x in v)) if (g := _grams(p))]
 _QUOTED = re.compile(r"[“«„\"「][^”»“\"」]*[”»“\"」]")
 
 
-def stock(text: str) -> float:
-    """The largest share of a stock refusal's word trigrams that stand in the text outside quotations."""
-    have = _grams(_QUOTED.sub(" ", text).replace("’", "'"))
-    return max(len(g & have) / len(g) for g in _STOCK)
-
-
 def pair_features(q: str | None, a: str | None, cut: bool) -> list[float]:
-    """The dense features of a pair."""
+    """The dense features of a pair: graded measures of how much there is, how much of either is in the other, and how much is in another language."""
     text = (a or "").strip().strip("​﻿").strip()
-    low = text.lower()
-    blank = not text or low in PLACEHOLDERS or not any(c.isalnum() for c in text) or bool(re.fullmatch(r"[\[<({]\s*\w{0,8}\s*[\])}>]", low))
     ta, tq = Counter(tokens(text)), Counter(tokens(q or ""))
     na, nq = sum(ta.values()), sum(tq.values())
+    letters = sum(c.isalnum() for c in text)
     in_q = sum(n for x, n in ta.items() if x in tq) / na if na else 0.0
     in_a = sum(n for x, n in tq.items() if x in ta) / nq if nq else 0.0
-    copied = 1.0 if na and nq and in_q >= 0.8 and in_a >= 0.75 and na - sum(min(n, 4 * tq[x]) for x, n in ta.items()) <= max(1, 0.2 * nq) else 0.0
+    # what the answer has beyond a few repetitions of the question
+    beyond = sum(max(0, n - 4 * tq[x]) for x, n in ta.items()) / nq if nq else 1.0
     rest = sum((ta - tq).values()) / nq if nq else 0.0
     other = known = 0
-    if q and not blank:
+    if q and letters:
         want = expected_language(q)
         for s, e in units(text):
             piece = text[s:e]
@@ -117,10 +114,11 @@ def pair_features(q: str | None, a: str | None, cut: bool) -> list[float]:
                 other += (e - s) if got != want and want != "latin" or want == "latin" and got not in ("en", "de", "fr", "es") else 0
     mixed = other / known if known else 0.0
     ended = bool(re.search(r"[.!?。！？؟।…;][”»\"」』)\]）’']*$", text))
-    return [float(blank), float(cut), in_q, in_a, in_q * in_a, copied, min(rest, 3.0), mixed, float(mixed > 0.5), float(ended), float(len(text) < 20), stock(text)]
+    both = in_q * in_a
+    return [float(cut), in_q, in_a, both, both**4, 1 / (1 + 5 * beyond), min(rest, 3.0), mixed, mixed * mixed, float(ended), 1 / (1 + letters), min(1.0, 4 / (1 + na)), both**2 / (1 + 5 * beyond)]
 
 
-DENSE = 12
+DENSE = 13
 
 
 def hashed(a: str | None) -> list[int]:
@@ -131,6 +129,9 @@ def hashed(a: str | None) -> list[int]:
     names += [f"3{x} {y} {z}" for x, y, z in zip(t, t[1:], t[2:])]
     names += [f"f{i}{x}" for i, x in enumerate(t[:4])] + [f"ff{' '.join(t[:n])}" for n in (2, 3)]
     names += [f"l{i}{x}" for i, x in enumerate(reversed(t[-3:]))] + [f"e{low[-n:]}" for n in (1, 2, 3)]
+    if len(low) <= 20:  # a short answer as a whole, and the marks around it
+        shape = re.sub(r"\w+", "w", low)
+        names += [f"w{low}", f"s{shape}", f"b{low.strip('[](){}<>. ')}"]
     return sorted({zlib.crc32(x.encode("utf-8", "replace")) & (BUCKETS - 1) for x in names})
 
 
@@ -153,7 +154,7 @@ class Classifier:
                 z[:, k] += np.bincount(rows, self.w[cols, k], minlength=len(h)) * scale
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, h: list[list[int]], dense: np.ndarray, y: np.ndarray, use: np.ndarray) -> None:
+    def fit(self, h: list[list[int]], dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = STEPS) -> None:
         """Full-batch Adam; ``use`` weighs each pair for each defect. Rare defects weigh as much as their absence up to a factor of 3."""
         rows = np.repeat(np.arange(len(h)), [len(x) for x in h])
         cols = np.fromiter((c for x in h for c in x), dtype=np.int64)
@@ -164,7 +165,7 @@ class Classifier:
         balance = np.minimum(3, (use * (1 - y)).sum(axis=0) / np.maximum((use * y).sum(axis=0), 1))
         weight = use * np.where(y > 0, balance, 1) / len(h)
         state = [[np.zeros_like(p, dtype=float), np.zeros_like(p, dtype=float)] for p in (self.w, self.d, self.b)]
-        for step in range(1, STEPS + 1):
+        for step in range(1, steps + 1):
             g = (self.scores(h, dense) - y) * weight
             gw = np.stack([np.bincount(cols, (g[:, k] * scale)[rows], minlength=BUCKETS) for k in range(len(DEFECTS))], axis=1)
             for p, grad, (m, v), rate in zip((self.w, self.d, self.b), (gw + 1e-6 * self.w, dense.T @ g + 1e-6 * self.d, g.sum(axis=0)), state, (0.1, 0.2, 0.1)):
@@ -173,16 +174,15 @@ class Classifier:
                 p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(p.dtype)
 
     def calibrate(self, h: list[list[int]], dense: np.ndarray, y: np.ndarray, use: np.ndarray) -> None:
-        """Per defect the threshold of the best F1, midway in the widest gap of equal F1."""
+        """Per defect the threshold of the best F1 on these pairs; of those within TIE of it the one nearest to one half."""
         p = self.scores(h, dense)
         for k in range(len(DEFECTS)):
-            best = [(-1.0, 0.5)]
-            for t in np.linspace(0.1, 0.95, 18):
+            f1 = []
+            for t in GRID:
                 hit = p[:, k] >= t
                 tp, fp, fn = ((use[:, k] * m).sum() for m in (hit & (y[:, k] > 0), hit & (y[:, k] == 0), ~hit & (y[:, k] > 0)))
-                f1 = 2 * tp / max(2 * tp + fp + fn, 1e-9)
-                best = [(f1, t)] if f1 > best[0][0] + 1e-4 else [*best, (f1, t)] if f1 > best[0][0] - 1e-4 else best
-            self.at[k] = min(0.6, np.median([t for _, t in best]))
+                f1.append(2 * tp / max(2 * tp + fp + fn, 1e-9))
+            self.at[k] = min((t for t, f in zip(GRID, f1) if f >= max(f1) - TIE), key=lambda t: abs(t - 0.5))
 
 
 def synthetic(pairs: list[tuple[str, str]], seed: int = SEED) -> list[tuple[str, str, str]]:
@@ -194,22 +194,28 @@ def synthetic(pairs: list[tuple[str, str]], seed: int = SEED) -> list[tuple[str,
     langs = sorted(by_lang)
     out = []
     for k, (q, a) in enumerate(pairs):
-        kind = k % 5
+        kind = k % 6
+        if kind == 5:  # sound short answers, so that shortness alone is no defect
+            short = re.findall(r"\w[\w' -]{0,20}\w", a)
+            if short:
+                out.append((q, rng.choice([rng.choice(short).split()[0], rng.choice(short), "Yes", "No", str(rng.randint(0, 2000))]), ""))
+            continue
         if kind == 0 and len(a) > 12:
-            cut = a[: rng.randint(max(5, len(a) // 3), len(a) - 2)].rstrip()
-            if re.search(r"[.!?。！？؟।…;”»」]$", cut):
-                cut = cut[:-3].rstrip()
-            out.append((q, cut + rng.choice(["", "", "", "", "", "...", "…", "�", "\\", " [truncated]", " (cont"]), "truncated"))
+            for _ in range(2):
+                cut = a[: rng.randint(max(5, len(a) // 3), len(a) - 2)].rstrip()
+                if re.search(r"[.!?。！？؟।…;”»」]$", cut):
+                    cut = cut[:-3].rstrip()
+                out.append((q, cut + rng.choice(["", "", "", "", "", "...", "…", "�", "\\", " [truncated]", " (cont"]), "truncated"))
         elif kind == 1:
             lang = expected_language(q)
             name = (re.findall(r"\b[A-Z][a-z]+\b", q) or ["this"])[-1]
-            if lang in REFUSALS and rng.random() < 0.6:
-                text = " ".join(rng.sample(REFUSALS[lang], rng.choice([1, 1, 2])))
-            else:
-                core = rng.choice(CORES)
-                text = f"{rng.choice(OPENINGS)} {core} {rng.choice(CLOSINGS).format(name=name)}".strip().replace("  ", " ") + ". " + rng.choice(AFTER)
-                text = text[0].upper() + text[1:]
-            out.append((q, text.strip().upper() if rng.random() < 0.08 else text.strip(), "refusal"))
+            made = []
+            if lang in REFUSALS:
+                made += [" ".join(rng.sample(REFUSALS[lang], n)) for n in (1, 2)]
+            for _ in range(3 - len(made)):
+                text = f"{rng.choice(OPENINGS)} {rng.choice(CORES)} {rng.choice(CLOSINGS).format(name=name)}".strip().replace("  ", " ") + ". " + rng.choice(AFTER)
+                made.append(text[0].upper() + text[1:])
+            out += [(q, t.strip().upper() if rng.random() < 0.08 else t.strip(), "refusal") for t in made]
         elif kind == 2:
             words = q.split()
             if len(words) > 3 and rng.random() < 0.3:
@@ -237,9 +243,8 @@ def trained(goldens: DataFrame) -> tuple[Classifier, DataFrame]:
     one = materialize(one, "pairs")
     usable = one.filter("input IS NOT NULL AND length(trim(expectedOutput)) > 3").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     sample = [(r[0], r[1], r[2]) for r in usable.select("id", "input", "expectedOutput").collect()]
-    sample = [(i, q, a) for i, q, a in sample if not pair_features(q, a, False)[0]]
     made = synthetic([(q, a) for _, q, a in sample])
-    extra = [(f"synthetic {k}", a) for k, (_, a, d) in enumerate(made) if d != "empty"]
+    extra = [(f"synthetic {k}", a) for k, (_, a, d) in enumerate(made) if d not in ("empty", "")]
     known = one.select("id", "expectedOutput", "context")
     if extra:  # judged beside the corpus, so that made answers get the same evidence
         known = known.unionByName(spark.createDataFrame(extra, "id string, expectedOutput string").withColumn("context", F.lit(None).cast("string")))
@@ -253,21 +258,25 @@ def trained(goldens: DataFrame) -> tuple[Classifier, DataFrame]:
     rows = [(q, a, flag.get(i, False)) for i, q, a in sample] + [(q, a, flag.get(f"synthetic {k}", False)) for k, (q, a, _) in enumerate(made)]
     y = np.zeros((len(rows), len(DEFECTS)))
     for k, (_, _, d) in enumerate(made):
-        y[len(sample) + k, DEFECTS.index(d)] = 1
+        if d:
+            y[len(sample) + k, DEFECTS.index(d)] = 1
     use = np.ones_like(y)
     h, dense = _arrays(rows)
     # pairs of the sample with strong evidence of a defect are no examples of its absence
-    for column, defect in ((1, "truncated"), (5, "copies_question"), (8, "wrong_language"), (11, "refusal")):
+    for column, defect in ((0, "truncated"), (4, "copies_question"), (7, "wrong_language")):
         use[: len(sample), DEFECTS.index(defect)] = dense[: len(sample), column] < 0.6
     held = np.array([zlib.crc32(str(k).encode()) % 3 == 0 for k in range(len(rows))])
+    fold = np.array([zlib.crc32(f"fold {k}".encode()) % FOLDS for k in range(len(rows))])
     pick = lambda m: ([h[i] for i in np.flatnonzero(m)], dense[m], y[m], use[m])
+    # Pairs of the sample that have a defect, as units see it that were not fitted on them, are no examples of its absence.
+    for _ in range(2):
+        p = np.zeros_like(y)
+        for f in range(FOLDS):
+            clf.fit(*pick(fold != f), FOLD_STEPS)
+            p[fold == f] = clf.scores(*pick(fold == f)[:2])
+        sound = (p[: len(sample)] < DOUBT).all(axis=1, keepdims=True)
+        use[: len(sample)] = np.where(sound, 1, 0)
     clf.fit(*pick(~held))
-    # pairs of the sample that look defective are no evidence of soundness
-    p = clf.scores(h, dense)
-    use[: len(sample)] = np.where((p[: len(sample)] > 0.5).any(axis=1, keepdims=True), 0, 1)
-    clf.fit(*pick(~held))
-    p = clf.scores(h, dense)
-    use[: len(sample)] = np.where((p[: len(sample)] > 0.5).any(axis=1, keepdims=True), 0, 1)
     clf.calibrate(*pick(held))
     return clf, pairs
 
@@ -283,10 +292,8 @@ def _flag(clf: Classifier):
                 out: list[tuple[str, str]] = []
                 for i, key in enumerate(ids):
                     got = {d for k, d in enumerate(DEFECTS) if p[i, k] >= clf.at[k]}
-                    if dense[i, 0]:
+                    if "empty" in got or not (a[i] or "").strip("​﻿\xa0\u3000 \t\r\n"):
                         got = {"empty"}  # nothing is there to be judged further
-                    else:
-                        got.discard("empty")
                     if got & {"refusal", "copies_question"}:
                         got -= {"wrong_language"}
                     if q[i] is None:
@@ -299,6 +306,6 @@ def _flag(clf: Classifier):
 
 
 def found(goldens: DataFrame) -> DataFrame:
-    """Distinct (id, defect). A null, blank or placeholder answer is 'empty' and nothing else; where the input is null, only 'empty', 'truncated' and 'refusal' count."""
+    """Distinct (id, defect). An answer that is null, blank or found to be a placeholder is 'empty' and nothing else; where the input is null, only 'empty', 'truncated' and 'refusal' count."""
     clf, pairs = trained(goldens)
     return pairs.mapInArrow(_flag(clf), "id string, defect string").distinct()
