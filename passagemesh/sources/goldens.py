@@ -54,7 +54,7 @@ def write_csv(goldens: DataFrame, path: str) -> None:
 
 def passages(context: Column) -> Column:
     """The passages of a context: of a JSON array, else of items joined by ' | '. Null gives null."""
-    listed = F.from_json(context, "array<string>")
+    listed = F.from_json(context, "array<string>", {"allowSingleQuotes": "false"})
     return F.when(context.isNotNull(), F.coalesce(listed, F.split(context, " \\| ")))
 
 
