@@ -267,12 +267,13 @@ def test_pieces_hold():
 
 def test_pair_features_cases():
     f = pairs.pair_features
-    assert f("Q?", None, False)[0] == f("Q?", " N/A ", False)[0] == f("Q?", "​", False)[0] == 1.0
-    assert f("What is a lens?", "WHAT IS A LENS?", False)[5] == 1.0
-    assert f("What is a lens?", "What is a lens? It bends the light of a star.", False)[5] == 0.0
-    assert f("What is the lens in the tower of it?", "Какая странная орбита!", False)[8] == 1.0
-    assert f("What is the lens? Answer in Russian.", "Какая странная орбита!", False)[8] == 0.0
-    assert pairs.stock("“I cannot answer this question” wrote the king.") < 0.5 < pairs.stock("Sorry, I cannot answer this question.")
+    nothing = [f("Q?", x, False)[10] for x in (None, "", " \t", "​", "...")]
+    assert set(nothing) == {1.0} and f("Q?", "No", False)[10] < 0.5  # there is nothing, or little
+    copied, answered = f("What is a lens?", "WHAT IS A LENS?", False), f("What is a lens?", "What is a lens? It bends the light of a star.", False)
+    assert copied[3] == copied[12] == 1.0 and answered[12] < 0.3
+    assert f("What is the lens in the tower of it?", "Какая странная орбита!", False)[7] == 1.0
+    assert f("What is the lens? Answer in Russian.", "Какая странная орбита!", False)[7] == 0.0
+    assert f(None, "text", True)[0] == 1.0 and len(f(None, None, False)) == pairs.DENSE
 
 
 def test_defects_held_out(spark, sf):
@@ -282,8 +283,10 @@ def test_defects_held_out(spark, sf):
     made = pairs.synthetic([(r[0], r[1]) for r in rows], seed=99)
     h, dense = pairs._arrays([(q, a, d == "truncated") for q, a, d in made])
     p = clf.scores(h, dense)
-    right = [p[i, pairs.DEFECTS.index(d)] >= clf.at[pairs.DEFECTS.index(d)] for i, (_, _, d) in enumerate(made)]
+    right = [p[i, pairs.DEFECTS.index(d)] >= clf.at[pairs.DEFECTS.index(d)] for i, (_, _, d) in enumerate(made) if d]
     assert sum(right) / len(right) > 0.85
+    short = [(p[i] < clf.at).all() for i, (_, _, d) in enumerate(made) if not d]
+    assert sum(short) / len(short) > 0.8  # short answers are sound
     null = g.select("id", "input", "expectedOutput", "context").withColumn("input", F.lit(None).cast("string"))
     assert {r.defect for r in pairs.found(null).collect()} <= {"empty", "truncated", "refusal"}
 
