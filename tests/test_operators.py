@@ -219,7 +219,8 @@ def test_rerank_edges(spark):
     r = rerank.tfidf(c, q).orderBy("rank").collect()
     assert [x.pos for x in r] == [1, 0] and r[1].similarity == 0.0
     assert rerank.padded(rerank.tfidf(c, q), 5).count() == 5
-    assert rerank.hybrid(c, q).count() == 2
+    h = rerank.hybrid(c, q).orderBy("rank").collect()  # on the padded list
+    assert len(h) == 10 and [x.pos for x in h[:2]] == [1, 0] and sum(x.is_padding for x in h) == 8 and h[2].score < h[1].score
 
 
 def test_evaluation(spark):
