@@ -1,7 +1,9 @@
 import itertools
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,60 @@ def test_neighbours_of_a_crowd(spark):
     assert {p for p in want if p[0][0] == p[1][0] == "w"} <= got
 
 
+def _cell_of(x, homes, batch=500):
+    """The rows of one cell as its task gets them, of which the first lie in it."""
+    for at in range(0, len(x), batch):
+        some = range(at, min(at + batch, len(x)))
+        columns = [pa.array([1] * len(some)), pa.array([i < homes for i in some]), pa.array(["k"] * len(some)), pa.array([f"v{i:05d}" for i in some]), pa.array([None] * len(some), pa.list_(pa.string())), pa.array(neighbours.packed(x[some]), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", "own", "kind", "id", "ids", "vec"])
+
+
+@pytest.mark.parametrize("most", [5000, 400])
+def test_a_cell_lets_its_visitors_pass(most, monkeypatch):
+    """A task holds what lies in a cell and a part of its visitors, not all of them; held in turns, it finds the same."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(1000, 64))
+    x = np.concatenate([centre, np.repeat(centre, 9, axis=0) + 0.2 * rng.normal(size=(9000, 64))])
+    monkeypatch.setattr(neighbours, "PART", 1000)
+    read = []
+    source = (read.append(1) or b for b in _cell_of(x, 1000))
+    out = []
+    for b in neighbours._searched(5, 0.85, most)(source):
+        if not out:
+            assert len(read) <= 5  # of 20
+        out.append(b)
+    got = {}
+    for b in out:
+        for i, c in zip(b.column("id").to_pylist(), b.column("c").to_pylist()):
+            got.setdefault(i, set()).update((e["d"], e["other"]) for e in c)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u[:1000] @ u.T, 6)
+    s[np.arange(1000), np.arange(1000)] = -1
+    hits = 0
+    for a in range(1000):
+        c = np.flatnonzero(s[a] >= 0.85)
+        hits += [o for _, o in sorted(got[f"v{a:05d}"])[:5]] == [f"v{i:05d}" for i in c[np.lexsort((c, -s[a][c]))][:5]]
+    assert hits >= 950
+
+
+def test_visits_stay_few():
+    """At 256 cells a vector visits 10 or so (37 before cells were of the nearest direction), and near pairs still meet."""
+    rng = np.random.default_rng(7)
+    a, g = rng.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    g -= (g * a).sum(axis=1, keepdims=True) * a
+    b = 0.85 * a + math.sqrt(1 - 0.85**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    cells = neighbours.Cells(8, 0.85)
+    visited, own = [], []
+    for x in (a, b):
+        row, key, mine = cells.place(x)
+        assert len(row) <= 12 * len(x) and mine.sum() == len(x)
+        visited.append(set(zip(row.tolist(), key.tolist())))
+        own.append(list(zip(row[mine].tolist(), key[mine].tolist())))
+    met = {p[0] for p in own[0] if p in visited[1]} | {p[0] for p in own[1] if p in visited[0]}
+    assert len(met) >= 0.97 * len(a)
+
+
 def test_vectors_are_packed_without_loss():
     rng = np.random.default_rng(2)
     x = np.concatenate([np.round(rng.normal(size=(3, 64)), 4), rng.normal(size=(2, 64)).astype(np.float32).astype(float), rng.normal(size=(2, 64)), [[1e300] * 64], [[0.0] * 63 + [5e-324]]])
